@@ -6,8 +6,8 @@ it fits are one interval of the key order, and the intervals of two rules are ne
 apart.  Rules and URLs are dealt out by key range and sorted together; a sweep keeps the
 stack of rules whose interval is open, each with its path, and takes the longest that fits.
 
-Range bounds come from the 4096 rows with the smallest row hash (an even sample of the whole
-table, bounded by that number).  A bound is a key and a row hash, so one host may fill many
+Range bounds come from the rows with the smallest row hashes: about ``BOUND_ROWS`` of them, an
+even sample of the whole table whatever its size, used for balance alone.  A bound is a key and a row hash, so one host may fill many
 ranges; a rule is copied to each range that its interval meets, no URL is copied.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no
@@ -88,7 +88,9 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: st
     rows = df.select(pick(df, id_col).cast("long").alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("key", _key("host")).withColumn("salt", F.xxhash64("id", "url"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = sorted((r.key.encode(), r.salt) for r in rows.select("key", "salt").orderBy(F.xxhash64("salt"), "salt").limit(BOUND_ROWS).collect())
+    share = BOUND_ROWS / max(1, df.select(pick(df, id_col)).count())
+    sample = rows.select("key", "salt").where(F.xxhash64("salt") / 2.0**64 + 0.5 < share).limit(2 * BOUND_ROWS)
+    seen = sorted((r.key.encode(), r.salt) for r in sample.collect())
     n = min(len(seen), 4 * parts)
     bounds = [seen[i * len(seen) // n] for i in range(1, n)] if n else []
 
