@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Scratch
 from .text import SPACE, let, pick
 
 SYMBOLS = "#*$%&|<>"
@@ -105,9 +104,11 @@ def from_text(text: Column) -> Callable[[str], Column]:
 
 
 def plan_cascade(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, both measured on ``sample_rows`` rows at most."""
-    scratch = Scratch(df.sparkSession, "cascade")
-    sample = scratch.write(df.select(pick(df, text_col).alias("text")).limit(sample_rows), "sample")
+    """The rules by rejection per cost, both measured on ``sample_rows`` rows at most.
+
+    The sample is the first rows that a limit finds, so only as many files are read as it takes.
+    """
+    sample = df.sparkSession.createDataFrame(df.select(pick(df, text_col).alias("text")).limit(sample_rows).toArrow())
     get, measured = from_text(F.col("text")), []
     for warm in (True, False):
         for rule in rules:
@@ -115,7 +116,6 @@ def plan_cascade(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] =
             seen, out = sample.agg(F.count(F.lit(1)), F.count_if(~rule.test(get))).first()
             if not warm:
                 measured.append((-out / max(seen, 1) / (time.perf_counter() - began), rule.name, rule))
-    scratch.drop()
     return [rule for _, _, rule in sorted(measured, key=lambda x: x[:2])]
 
 
