@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -29,7 +30,9 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from .text import is_latin, latin_twin
 
 CACHE_ROWS = 800_000
 CACHE_CHARS = 48
@@ -40,113 +43,99 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank first, within it the leftmost position."""
-
-    def __init__(self, n_ranks: int):
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        word, block = rank >> 6, rank >> 12
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[block] |= 1 << (word & 63)
-        self.top |= 1 << block
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        block = (top & -top).bit_length() - 1
-        mid = self.mid[block]
-        word = (block << 6) + (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = (word << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = low = low & (low - 1)
-            if not low:
-                self.mid[block] = mid = mid & (mid - 1)
-                if not mid:
-                    self.top = top & (top - 1)
-        return rank, at
-
-
 class Codec:
     """Encoder and decoder over one rank file and one pre-token pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.ranks, self.pattern, self.latin = ranks, regex.compile(pattern), latin_twin(pattern)
+        n_ranks = max(ranks.values(), default=0) + 1
+        #: The bitmap: a bit of ``low`` for each rank with waiting positions, of ``mid`` for each word of ``low`` that is not zero.
+        self.low, self.mid = [0] * ((n_ranks >> 6) + 1), [0] * ((n_ranks >> 12) + 1)
         self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.packed = _Packed(self)
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, queue, n = self.ranks, self.queue, len(word)
-        whole = ranks.get(word)
+        """The ids of one pre-token.  The bitmap is all zero before and after."""
+        rank_of, low, mid, n = self.ranks.get, self.low, self.mid, len(word)
+        whole = rank_of(word)
         if whole is not None:
             return [whole]
         after = list(range(1, n + 1))  # where the span that begins here ends, and so where its neighbour begins
         before = list(range(-1, n))
-        wanted = [-1] * (n + 1)  # rank of the pair that begins here
-        push, pop = queue.push, queue.pop
-        for at in range(n - 1):
-            rank = ranks.get(word[at : at + 2])
-            if rank is not None:
-                wanted[at] = rank
-                push(rank, at)
-        while (got := pop()) is not None:
-            rank, at = got
+        wanted: list[int | None] = [rank_of(word[at : at + 2]) for at in range(n - 1)]  # rank of the pair that begins here
+        wanted += (None, None)
+        fresh = [(rank, at) for at, rank in enumerate(wanted) if rank is not None]
+        buckets: dict[int, list[int]] = {}
+        top = 0  # a bit for each word of ``mid`` that is not zero
+        while True:
+            for rank, at in fresh:
+                bucket = buckets.get(rank)
+                if bucket is not None:
+                    heappush(bucket, at)
+                    continue
+                buckets[rank] = [at]
+                had = low[rank >> 6]
+                low[rank >> 6] = had | 1 << (rank & 63)
+                if not had:
+                    mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+                    top |= 1 << (rank >> 12)
+            if not top:
+                break
+            block = (top & -top).bit_length() - 1  # three times find-first-set
+            bits = mid[block]
+            row = (block << 6) + (bits & -bits).bit_length() - 1
+            bits = low[row]
+            rank = (row << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            at = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                low[row] = bits = bits & (bits - 1)
+                if not bits:
+                    mid[block] = bits = mid[block] & (mid[block] - 1)
+                    if not bits:
+                        top &= top - 1
             if wanted[at] != rank:
-                continue  # stale
+                fresh = []  # a stale position
+                continue
             gone = after[at]
-            end = after[gone]
-            after[at], wanted[gone] = end, -1
+            after[at] = end = after[gone]
+            wanted[gone] = None
             if end < n:
                 before[end] = at
-                rank = ranks.get(word[at : after[end]])
-                if rank is None:
-                    wanted[at] = -1
-                else:
-                    wanted[at] = rank
-                    push(rank, at)
+                wanted[at] = rank = rank_of(word[at : after[end]])
+                fresh = [] if rank is None else [(rank, at)]
             else:
-                wanted[at] = -1
+                wanted[at] = None
+                fresh = []
             if at:
                 left = before[at]
-                rank = ranks.get(word[left:end])
-                if rank is None:
-                    wanted[left] = -1
-                elif rank != wanted[left]:
-                    wanted[left] = rank
-                    push(rank, left)
+                rank = rank_of(word[left:end])
+                if rank is not None and rank != wanted[left]:
+                    fresh.append((rank, left))
+                wanted[left] = rank
         out, at = [], 0
         while at < n:
-            out.append(ranks[word[at : after[at]]])
+            out.append(self.ranks[word[at : after[at]]])
             at = after[at]
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words: Iterable[str] = self.pattern.findall(text) if len(text) <= LONG_CHARS else (m.group() for m in self.pattern.finditer(text))
+        pattern = self.latin if self.latin and is_latin(text) else self.pattern
+        words: Iterable[str] = pattern.findall(text) if len(text) <= LONG_CHARS else (m.group() for m in pattern.finditer(text))
         return b"".join(map(self.packed.__getitem__, words))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Packed(dict):
     """Pre-token -> its packed ids, filled as they are met; half of it is kept when it is full."""
 
@@ -157,7 +146,7 @@ class _Packed(dict):
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)
         if out is None:
-            out = np.array(self.codec.merge(word.encode()), "<u4").tobytes()
+            out = pack(self.codec.merge(word.encode()))
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_ROWS // 2:
                 self.old = dict(self)
@@ -212,3 +201,20 @@ def decode(ids: Column, ranks: Broadcast, pattern: str) -> Column:
         return pa.array([codec.decode(x) if x else b"" for x in packed.to_pylist()], pa.binary())
 
     return arrow_udf(run, BinaryType())(ids)
+
+
+_BOTH = StructType([StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
+
+
+def round_trip(text: Column, ranks: Broadcast, pattern: str) -> Column:
+    """Struct column (ids, decoded): what :func:`encode` gives, and what :func:`decode` makes of that.
+
+    Chained in one plan, the two would encode twice.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        codec = codec_of(ranks.value, pattern)
+        ids = [codec.encode(x) if x else b"" for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.binary())], ["ids", "decoded"])
+
+    return arrow_udf(run, _BOTH)(text)

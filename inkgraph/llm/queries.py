@@ -28,9 +28,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.share(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), ranks, pattern).alias("ids"))
-    both = ids.withColumn("decoded", bpe.decode(F.col("ids"), ranks, pattern))
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), ranks, pattern).alias("x"))
+    return both.select("doc_id", (F.octet_length("x.ids") / 4).cast("long").alias("n_tokens"), F.sha2("x.ids", 256).alias("ids_sha256"), F.sha2("x.decoded", 256).alias("decoded_sha256"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
