@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..plans.lineage import Scratch
-from .text import pick
+from .text import is_latin, latin_twin, pick
 
 CAPACITY = 2048
 CACHE_ROWS = 800_000
@@ -81,13 +82,23 @@ class WordTokenizer:
         told = json.loads(data)
         self.library = Tokenizer.from_str(data.decode())
         self.special = [t["content"] for t in told["added_tokens"]]
-        self.split = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split, self.latin = regex.compile(pattern), latin_twin(pattern)
         self.young = _young_letters()
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        """Lower-casing is per character, so a final sigma is like any other."""
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text in lower case, None if it has to go through the library.
+
+        Lower-casing is per character, so a final sigma is like any other.
+        """
+        if any(x in text for x in self.special):
+            return None
+        if self.latin and is_latin(text):
+            return self.latin.findall(text.lower())
+        if self.young.search(text):
+            return None
         return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def _learn(self, words: list[str]) -> None:
@@ -103,15 +114,17 @@ class WordTokenizer:
                 self.known.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if any(s in x for s in self.special) or not x.isascii() and self.young.search(x) else self.words(x) for x in texts]
-        wanted = set().union(*(x for x in plain if x is not None))
+        found = [self.words(x) for x in texts]
         if len(self.known) > CACHE_ROWS // 2:
             self.known, self.old = {}, self.known
-        again = wanted & self.old.keys()
+        new: set[str] = set()
+        for words in found:
+            new.update(filterfalse(self.known.__contains__, words or ()))
+        again = new & self.old.keys()
         self.known.update((w, self.old[w]) for w in again)
-        self._learn(sorted(wanted - self.known.keys()))
+        self._learn(list(new - again))
         get = self.known.__getitem__
-        return [np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(texts, plain, strict=True)]
+        return [np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(texts, found, strict=True)]
 
 
 class _Holder:
