@@ -1,4 +1,6 @@
-"""Weakly connected components by alternating star contraction.
+"""Components: weak, strong, bow-tie, cut structure, reading orders.
+
+Weak components come from alternating star contraction.
 
 Each round points every vertex of a neighbourhood at the smallest vertex seen there: first
 the larger neighbours (large star), then the smaller ones (small star).  Rounds take two
@@ -8,6 +10,9 @@ the edge list never grows.  The edge list of each round is written to the shared
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +52,222 @@ def component_of(edges: DataFrame, src: str = "src", dst: str = "dst", max_round
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
         sign = found
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def weak_components(nodes: DataFrame, proj: DataFrame) -> DataFrame:
+    """(id, component) of all vertices; a component's id is its smallest member."""
+    found = component_of(proj)
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def sizes(component: DataFrame) -> DataFrame:
+    """(component, size, members): members sorted."""
+    return component.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("id")).alias("members"))
+
+
+#: The largest weak component, in edges, that a kernel gets as a whole.
+KERNEL_EDGES = 5_000_000
+
+
+def by_component(proj: DataFrame, weak: DataFrame, max_edges: int) -> DataFrame | None:
+    """Edges with their weak component; None when one of these has more than ``max_edges`` edges."""
+    edges = proj.join(weak.withColumnRenamed("id", "src"), "src")
+    most = edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return None if (most or 0) > max_edges else edges
+
+
+def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Strong components of one weak component, by an iterative depth-first search."""
+    ids = sorted(set(pdf["src"]) | set(pdf["dst"]))
+    place = {x: k for k, x in enumerate(ids)}
+    out: list[list[int]] = [[] for _ in ids]
+    for s, t in zip(pdf["src"], pdf["dst"], strict=True):
+        out[place[s]].append(place[t])
+    order, low, owner = [-1] * len(ids), [0] * len(ids), [-1] * len(ids)
+    waiting: list[int] = []
+    clock = 0
+    for root in range(len(ids)):
+        if order[root] >= 0:
+            continue
+        order[root] = low[root] = clock
+        clock += 1
+        waiting.append(root)
+        work = [(root, iter(out[root]))]
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if order[w] < 0:
+                    order[w] = low[w] = clock
+                    clock += 1
+                    waiting.append(w)
+                    work.append((w, iter(out[w])))
+                    break
+                if owner[w] < 0:
+                    low[v] = min(low[v], order[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    cut = len(waiting) - 1 - waiting[::-1].index(v)
+                    least = min(waiting[cut:])
+                    for w in waiting[cut:]:
+                        owner[w] = least
+                    del waiting[cut:]
+    return pd.DataFrame({"id": ids, "component": [ids[k] for k in owner]})
+
+
+def strong_components(nodes: DataFrame, proj: DataFrame, weak: DataFrame | None = None, max_edges: int = KERNEL_EDGES) -> DataFrame:
+    """(id, component) of all vertices; a component's id is its smallest member.
+
+    Weak components of up to ``max_edges`` edges go to a kernel each; if one is larger, all
+    are found by :func:`coloured` rounds of joins.
+    """
+    weak = weak if weak is not None else weak_components(nodes, proj)
+    edges = by_component(proj, weak, max_edges)
+    if edges is None:
+        found = coloured(proj)
+    else:
+        kind = proj.schema["src"].dataType.simpleString()
+        found = edges.select("component", "src", "dst").groupBy("component").applyInPandas(_strong, f"id {kind}, component {kind}")
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def coloured(proj: DataFrame) -> DataFrame:
+    """Strong components by colouring: every vertex takes the smallest id that reaches it, and
+    those of a colour that reach its origin are one component; the rest goes on."""
+    scratch = Scratch(proj.sparkSession, "coloured")
+    edges = scratch.write(proj.select("src", "dst"), "edges")
+    left = scratch.write(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "left")
+    out, k = None, 0
+    while not left.isEmpty():
+        k += 1
+        colour = _spread(left.select("id", F.col("id").alias("colour")), edges, scratch, f"f{k}")
+        a, b = (colour.select(F.col("id").alias(e), F.col("colour").alias(f"c_{e}")) for e in ("src", "dst"))
+        inner = scratch.write(edges.join(a, "src").join(b, "dst").where("c_src = c_dst").select("src", "dst"), f"e{k}")
+        back = _spread(colour.where("id = colour").select("id", "colour"), inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), scratch, f"b{k}")
+        out = back if out is None else out.unionByName(back)
+        left = scratch.write(left.join(back.select("id"), "id", "left_anti"), f"l{k}")
+        edges = scratch.write(inner.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"), f"r{k}")
+    return (out if out is not None else left.select("id", F.col("id").alias("colour"))).select("id", F.col("colour").alias("component"))
+
+
+def _spread(start: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The smallest colour that reaches each vertex along ``edges``; only improved vertices send again."""
+    now = scratch.write(start, f"{name}-0")
+    fresh, k = now, 0
+    while not fresh.isEmpty():
+        k += 1
+        sent = edges.join(fresh.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("sent"))
+        both = now.join(sent, "id", "full").select("id", F.least("colour", "sent").alias("colour"), (F.col("colour").isNull() | (F.col("sent") < F.col("colour"))).alias("better"))
+        both = scratch.write(both, f"{name}-{k}")
+        now, fresh = both.select("id", "colour"), both.where("better").select("id", "colour")
+    return now
+
+
+def bowtie(nodes: DataFrame, proj: DataFrame, weak: DataFrame, strong: DataFrame) -> DataFrame:
+    """(id, bucket) around the largest strong component, ties by smallest id."""
+    from .reach import hops
+
+    giant = strong.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    core = strong.join(F.broadcast(giant.select("component")), "component").select("id")
+    down = hops(proj, core).select("id", F.lit(True).alias("down"))
+    up = hops(proj.select(F.col("dst").alias("src"), F.col("src").alias("dst")), core).select("id", F.lit(True).alias("up"))
+    near = weak.join(F.broadcast(weak.join(core, "id").select("component").distinct()), "component").select("id", F.lit(True).alias("near"))
+    bucket = F.when(F.col("up") & F.col("down"), "core").when(F.col("up"), "in").when(F.col("down"), "out").when(F.col("near"), "tendril").otherwise("disconnected")
+    joined = nodes.select("id").distinct().join(down, "id", "left").join(up, "id", "left").join(near, "id", "left")
+    return joined.select("id", bucket.alias("bucket"))
+
+
+def _cuts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Cut vertices and cut edges of one component, by an iterative low-link search."""
+    ids = sorted(set(pdf["src"]) | set(pdf["dst"]))
+    place = {x: k for k, x in enumerate(ids)}
+    near: list[list[int]] = [[] for _ in ids]
+    for s, t in zip(pdf["src"], pdf["dst"], strict=True):
+        near[place[s]].append(place[t])
+    order, low = [-1] * len(ids), [0] * len(ids)
+    order[0], clock, children = 0, 1, 0
+    points, edges = set(), []
+    work = [(0, -1, iter(near[0]))]
+    while work:
+        v, parent, rest = work[-1]
+        for w in rest:
+            if order[w] < 0:
+                order[w] = low[w] = clock
+                clock += 1
+                children += v == 0
+                work.append((w, v, iter(near[w])))
+                break
+            if w != parent:
+                low[v] = min(low[v], order[w])
+        else:
+            work.pop()
+            if parent >= 0:
+                low[parent] = min(low[parent], low[v])
+                if parent and low[v] >= order[parent]:
+                    points.add(parent)
+                if low[v] > order[parent]:
+                    edges.append((min(v, parent), max(v, parent)))
+    if children > 1:
+        points.add(0)
+    rows = [("articulation-point", ids[p], ids[p]) for p in sorted(points)] + [("bridge", ids[a], ids[b]) for a, b in sorted(edges)]
+    return pd.DataFrame(rows, columns=["kind", "a", "b"])
+
+
+def cut_structure(proj: DataFrame, weak: DataFrame, max_edges: int = KERNEL_EDGES) -> DataFrame:
+    """(kind, a, b): cut vertices (a = b) and bridges (a < b) of the undirected graph.
+
+    One component is one kernel's work; a component of more than ``max_edges`` edges is an error.
+    """
+    near = proj.select("src", "dst").union(proj.select("dst", "src")).distinct()
+    edges = by_component(near, weak, 2 * max_edges)
+    if edges is None:
+        raise ValueError(f"a component has more than {max_edges} edges: raise max_edges if a task can hold it")
+    kind = proj.schema["src"].dataType.simpleString()
+    return edges.select("component", "src", "dst").groupBy("component").applyInPandas(_cuts, f"kind string, a {kind}, b {kind}")
+
+
+def trails(nodes: DataFrame, proj: DataFrame, weak: DataFrame, strong: DataFrame, score: DataFrame, max_edges: int = KERNEL_EDGES) -> DataFrame:
+    """(root, order): a reading order of each weak component.
+
+    Strong components in topological order, of those free the one with the best member first
+    (ties by id), members by score; the root is the member of the best score.
+    """
+    edges = by_component(proj, weak, max_edges)
+    if edges is None:
+        raise ValueError(f"a component has more than {max_edges} edges: raise max_edges if a task can hold it")
+    vertex = weak.withColumnRenamed("component", "weak").join(strong.withColumnRenamed("component", "strong"), "id").join(score, "id")
+    kind = nodes.schema["id"].dataType.simpleString()
+    rows = vertex.select("weak", "id", "strong", "score", F.lit(None).cast(kind).alias("dst")).unionByName(
+        edges.select(F.col("component").alias("weak"), F.col("src").alias("id"), F.lit(None).cast(kind).alias("strong"), F.lit(None).cast("double").alias("score"), "dst"))
+    return rows.groupBy("weak").applyInPandas(_trail, f"root {kind}, order array<{kind}>")
+
+
+def _trail(pdf: pd.DataFrame) -> pd.DataFrame:
+    vertex, edges = pdf[pdf["strong"].notna()], pdf[pdf["strong"].isna()]
+    score = dict(zip(vertex["id"].tolist(), vertex["score"].tolist(), strict=True))
+    home = dict(zip(vertex["id"].tolist(), vertex["strong"].tolist(), strict=True))
+    members: dict = {}
+    for v in sorted(home, key=lambda x: (-score[x], x)):
+        members.setdefault(home[v], []).append(v)
+    below: dict = {c: set() for c in members}
+    for s, t in zip(edges["id"].tolist(), edges["dst"].tolist(), strict=True):
+        t = type(s)(t)
+        if home[s] != home[t]:
+            below[home[s]].add(home[t])
+    above = dict.fromkeys(members, 0)
+    for targets in below.values():
+        for c in targets:
+            above[c] += 1
+    free = [(-score[members[c][0]], c) for c, n in above.items() if n == 0]
+    heapify(free)
+    order: list = []
+    while free:
+        _, c = heappop(free)
+        order += members[c]
+        for d in below[c]:
+            above[d] -= 1
+            if above[d] == 0:
+                heappush(free, (-score[members[d][0]], d))
+    return pd.DataFrame({"root": [min(home, key=lambda x: (-score[x], x))], "order": [order]})

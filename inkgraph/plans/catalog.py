@@ -5,6 +5,368 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from ..functions import paths as P
+from ..functions import text as T
+from ..operators import components as C
+from ..operators import graph as G
+from ..operators import paths as A
+from ..operators import rank as R
+from ..operators import reach as B
+from ..operators import resolve as J
+from ..operators import scent as S
+from ..sources import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+ROUNDS = 8
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_EDGE = """SELECT DISTINCT a.{k} AS src, b.{k} AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_returnflag = 'R' AND a.l_quantity >= {q} AND a.{k} <> b.{k}"""
+SUP = "n AS (SELECT s_suppkey AS id FROM supplier), e AS (" + _EDGE.format(k="l_suppkey", q=50) + ")"
+PART = "n AS (SELECT p_partkey AS id FROM part), e AS (" + _EDGE.format(k="l_partkey", q=49) + ")"
+USER = """n AS (SELECT DISTINCT user_id AS id FROM events), e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, event_type,
+  lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE event_type = 'purchase' AND src <> dst)"""
+ROOT = "root AS (SELECT s_suppkey AS id FROM supplier WHERE s_nationkey = 0)"
+HOPS = "h AS (SELECT id, min(d) AS hops FROM walk GROUP BY id)"
+WALK = "walk(id, d) AS (SELECT id, 0 FROM root UNION SELECT e.dst, walk.d + 1 FROM walk JOIN e ON walk.id = e.src WHERE walk.d < 60)"
+REACH = "t(x, y) AS (SELECT id, id FROM n UNION SELECT t.x, e.dst FROM t JOIN e ON t.y = e.src)"
+NEAR = "u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+UREACH = "w(x, y) AS (SELECT id, id FROM n UNION SELECT w.x, u.dst FROM w JOIN u ON w.y = u.src)"
+WEAK = "weak AS (SELECT x AS id, min(y) AS component FROM w GROUP BY x)"
+STRONG = "strong AS (SELECT a.x AS id, min(a.y) AS component FROM t a JOIN t b ON a.x = b.y AND a.y = b.x GROUP BY a.x)"
+DEG = "deg AS (SELECT n.id, (SELECT count(*) FROM e WHERE e.dst = n.id) AS in_degree, (SELECT count(*) FROM e WHERE e.src = n.id) AS out_degree FROM n)"
+DIST = "far(x, y, d) AS (SELECT id, id, 0 FROM n UNION SELECT far.x, e.dst, far.d + 1 FROM far JOIN e ON far.y = e.src WHERE far.d < 40), d AS (SELECT x, y, min(d) AS d FROM far GROUP BY x, y)"
+UDIST = "far(x, y, d) AS (SELECT id, id, 0 FROM n UNION SELECT far.x, u.dst, far.d + 1 FROM far JOIN u ON far.y = u.src WHERE far.d < 40), d AS (SELECT x, y, min(d) AS d FROM far GROUP BY x, y)"
+
+
+def _r6(c: str):
+    return F.round(c, 6).alias(c)
+
+
+# --- graph ----------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {SUP}, {ROOT}, {WALK}, {HOPS}, {DEG}
+SELECT deg.id, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, CAST(coalesce(hops, -1) AS INTEGER) AS hops,
+CASE WHEN deg.id IN (SELECT id FROM root) THEN 'exempt' WHEN in_degree = 0 AND out_degree = 0 THEN 'isolated' WHEN out_degree = 0 THEN 'dead-end'
+     WHEN in_degree < 3 THEN 'under-linked' ELSE 'linked' END AS tier FROM deg LEFT JOIN h ON h.id = deg.id""")
+def structure_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    roots = D.roots(spark, sf_dir)
+    wide = G.document_view(G.degrees(nodes, proj), B.hops(proj, roots), roots.withColumn("is_root", F.lit(True)))
+    tier = G.tier(F.coalesce("is_root", F.lit(False)), F.col("in_degree"), F.col("out_degree"))
+    return wide.select("id", "in_degree", "out_degree", F.coalesce("hops", F.lit(-1)).alias("hops"), tier.alias("tier"))
+
+
+@query(f"WITH {PART}, {DEG} SELECT id, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree FROM deg")
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degrees(*D.part_handoff(spark, sf_dir))
+
+
+@query(f"WITH {USER} SELECT src, dst FROM e")
+def document_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.projection(D.user_succession(spark, sf_dir)[1])
+
+
+@query(f"WITH {SUP}, {NEAR} SELECT src, dst FROM u")
+def undirected_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.closure(D.supplier_handoff(spark, sf_dir)[1])
+
+
+@query(f"WITH RECURSIVE {SUP}, {ROOT}, {WALK}, {HOPS} SELECT id, CAST(hops AS INTEGER) AS hops FROM h")
+def hops_from_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.hops(D.supplier_handoff(spark, sf_dir)[1], D.roots(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {SUP}, {ROOT}, {WALK}, {HOPS} SELECT n.id, h.id IS NOT NULL AS reachable FROM n LEFT JOIN h ON h.id = n.id")
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    return B.reachability(nodes, B.hops(proj, D.roots(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {ROOT}, {WALK}, {HOPS} SELECT n.id FROM n WHERE n.id NOT IN (SELECT id FROM h)
+AND (n.id IN (SELECT src FROM e) OR n.id IN (SELECT dst FROM e))""")
+def unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    lost = B.reachability(nodes, B.hops(proj, D.roots(spark, sf_dir))).where("NOT reachable").select("id")
+    return lost.join(G.degrees(nodes, proj).where("in_degree + out_degree > 0"), "id", "left_semi")
+
+
+@query(f"WITH RECURSIVE {SUP}, {ROOT}, {WALK}, {HOPS} SELECT id, CAST(hops AS INTEGER) AS hops FROM h WHERE hops >= 6")
+def far_from_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = D.roots(spark, sf_dir)
+    return B.far_from_root(B.hops(D.supplier_handoff(spark, sf_dir)[1], roots), roots)
+
+
+@query(f"WITH RECURSIVE {PART}, {NEAR}, {UREACH}, {WEAK} SELECT id, component FROM weak")
+def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.weak_components(*D.part_handoff(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {PART}, {NEAR}, {UREACH}, {WEAK} SELECT component, count(*) AS size FROM weak GROUP BY component")
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.sizes(C.weak_components(*D.part_handoff(spark, sf_dir))).select("component", "size")
+
+
+@query(f"WITH RECURSIVE {SUP}, {REACH}, {STRONG} SELECT id, component FROM strong")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.strong_components(*D.supplier_handoff(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {REACH}, {STRONG} SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN strong a ON a.id = e.src
+JOIN strong b ON b.id = e.dst WHERE a.component <> b.component""")
+def condensation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    return G.condensation(proj, C.strong_components(nodes, proj))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {NEAR}, {UREACH}, {WEAK}, {REACH}, {STRONG},
+giant AS (SELECT component FROM strong GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), core AS (SELECT id FROM strong JOIN giant USING (component))
+SELECT n.id, CASE WHEN n.id IN (SELECT id FROM core) THEN 'core' WHEN n.id IN (SELECT x FROM t WHERE y IN (SELECT id FROM core)) THEN 'in'
+  WHEN n.id IN (SELECT y FROM t WHERE x IN (SELECT id FROM core)) THEN 'out' WHEN n.id IN (SELECT y FROM w WHERE x IN (SELECT id FROM core)) THEN 'tendril' ELSE 'disconnected' END AS bucket FROM n""")
+def bowtie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    weak = C.weak_components(nodes, proj)
+    return C.bowtie(nodes, proj, weak, C.strong_components(nodes, proj, weak))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = [SUP, "g AS (SELECT src, count(*) AS d FROM e GROUP BY src)", "c AS (SELECT count(*) AS n FROM n)", "p0 AS (SELECT id, 1.0 / n AS s FROM n, c)"]
+    for k in range(rounds):
+        parts.append(f"""p{k + 1} AS MATERIALIZED (SELECT x.id, 0.15 / c.n + 0.85 * (coalesce(i.s, 0) + coalesce((SELECT sum(s) FROM p{k} WHERE id NOT IN (SELECT src FROM g)), 0) / c.n) AS s
+FROM p{k} x, c LEFT JOIN (SELECT e.dst AS id, sum(y.s / g.d) AS s FROM e JOIN p{k} y ON y.id = e.src JOIN g ON g.src = e.src GROUP BY e.dst) i ON i.id = x.id)""".replace(f"FROM p{k} x, c LEFT JOIN", f"FROM p{k} x CROSS JOIN c LEFT JOIN"))
+    return f"WITH {', '.join(parts)} SELECT id, round(s, 6) AS score FROM p{rounds}"
+
+
+@query(_pagerank_sql(ROUNDS))
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.pagerank(*D.supplier_handoff(spark, sf_dir), tolerance=None, max_rounds=ROUNDS).select("id", _r6("score"))
+
+
+@query(_pagerank_sql(ROUNDS).replace("SELECT id, round(s, 6) AS score FROM", "SELECT id, round(s, 6) AS score FROM (SELECT * FROM") + " ORDER BY s DESC, id LIMIT 5)")
+def top_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = R.pagerank(*D.supplier_handoff(spark, sf_dir), tolerance=None, max_rounds=ROUNDS)
+    return G.top_n(scores, 5).select("id", _r6("score"))
+
+
+def _hits_sql(rounds: int) -> str:
+    parts = [SUP, "h0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS h FROM n)"]
+    for k in range(rounds):
+        parts.append(f"b{k} AS (SELECT n.id, CAST(coalesce(sum(h.h), 0) AS DOUBLE) AS a FROM n LEFT JOIN e ON e.dst = n.id LEFT JOIN h{k} h ON h.id = e.src GROUP BY n.id)")
+        parts.append(f"a{k + 1} AS (SELECT id, a / (SELECT CASE WHEN sum(a * a) = 0 THEN 1 ELSE sqrt(sum(a * a)) END FROM b{k}) AS a FROM b{k})")
+        parts.append(f"c{k} AS (SELECT n.id, CAST(coalesce(sum(a.a), 0) AS DOUBLE) AS h FROM n LEFT JOIN e ON e.src = n.id LEFT JOIN a{k + 1} a ON a.id = e.dst GROUP BY n.id)")
+        parts.append(f"h{k + 1} AS (SELECT id, h / (SELECT CASE WHEN sum(h * h) = 0 THEN 1 ELSE sqrt(sum(h * h)) END FROM c{k}) AS h FROM c{k})")
+    return f"WITH {', '.join(parts)} SELECT h{rounds}.id, round(h, 6) AS hub, round(a, 6) AS authority FROM h{rounds} JOIN a{rounds} USING (id)"
+
+
+@query(_hits_sql(ROUNDS))
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hits(*D.supplier_handoff(spark, sf_dir), tolerance=None, max_rounds=ROUNDS).select("id", _r6("hub"), _r6("authority"))
+
+
+@query(f"WITH RECURSIVE {SUP}, {DIST} SELECT x AS src, y AS dst, CAST(d AS BIGINT) AS hops FROM d")
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.distances(*D.supplier_handoff(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {DIST}, p(s, t, d) AS (SELECT id, id, 0 FROM n UNION ALL SELECT p.s, e.dst, p.d + 1 FROM p JOIN e ON p.t = e.src JOIN d ON d.x = p.s AND d.y = e.dst AND d.d = p.d + 1),
+g AS (SELECT s, t, any_value(d) AS d, CAST(count(*) AS DOUBLE) AS k FROM p GROUP BY s, t),
+b AS (SELECT a.t AS id, sum(a.k * c.k / g.k) AS x FROM g a JOIN g c ON a.t = c.s JOIN g ON g.s = a.s AND g.t = c.t WHERE a.d > 0 AND c.d > 0 AND a.s <> c.t AND a.d + c.d = g.d GROUP BY a.t)
+SELECT n.id, round(coalesce(x, 0) / ((m - 1) * (m - 2)), 6) AS betweenness FROM n CROSS JOIN (SELECT count(*) AS m FROM n) LEFT JOIN b ON b.id = n.id""")
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.betweenness(*D.supplier_handoff(spark, sf_dir)).select("id", _r6("betweenness"))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {DIST}, m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM n), f AS (SELECT * FROM d WHERE x <> y),
+s AS (SELECT n.id, abs(coalesce((SELECT sum(d) FROM f WHERE y = n.id), 0) - coalesce((SELECT sum(d) FROM f WHERE x = n.id), 0)) AS s FROM n)
+SELECT round(((m * m - m) * m - ((SELECT sum(d) FROM f) + ((m * m - m) - (SELECT count(*) FROM f)) * m)) / ((m * m - m) * (m - 1)), 6) AS compactness,
+  round(least((SELECT sum(s) FROM s) / CASE WHEN CAST(m AS BIGINT) % 2 = 0 THEN m * m / 2 ELSE (m * m - 1) / 2 END, 1.0), 6) AS stratum FROM m""")
+def compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.compactness(*D.supplier_handoff(spark, sf_dir)).select(_r6("compactness"), _r6("stratum"))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {NEAR}, {UDIST}, f AS (SELECT d FROM d WHERE x <> y)
+SELECT round(avg(d), 6) AS characteristic_path_length, CAST(median(d) AS DOUBLE) AS median_path_length, CAST(max(d) AS BIGINT) AS diameter, count(*) AS reachable_pairs FROM f""")
+def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.path_lengths(*D.supplier_handoff(spark, sf_dir)).select(_r6("characteristic_path_length"), "median_path_length", "diameter", "reachable_pairs")
+
+
+@query(f"""WITH {USER}, {NEAR}, k AS (SELECT src, count(*) AS d FROM u GROUP BY src),
+c AS (SELECT a.src, count(*) / 2 AS t FROM u a JOIN u b ON a.src = b.src AND a.dst <> b.dst JOIN u x ON x.src = a.dst AND x.dst = b.dst GROUP BY a.src)
+SELECT round(avg(2.0 * coalesce(t, 0) / (d * (d - 1))), 6) AS clustering FROM k LEFT JOIN c ON c.src = k.src WHERE d >= 2""")
+def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.clustering(D.user_succession(spark, sf_dir)[1]).select(_r6("clustering"))
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    return C.cut_structure(proj, C.weak_components(nodes, proj))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {NEAR}, r(v, x) AS (SELECT src, min(dst) FROM u GROUP BY src UNION SELECT r.v, u.dst FROM r JOIN u ON u.src = r.x WHERE u.dst <> r.v)
+SELECT DISTINCT u.src AS id FROM u LEFT JOIN r ON r.v = u.src AND r.x = u.dst WHERE r.v IS NULL""")
+def articulation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(spark, sf_dir).where("kind = 'articulation-point'").select(F.col("a").alias("id"))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {NEAR}, k AS (SELECT src AS a, dst AS b FROM u WHERE src < dst),
+r(a, b, x) AS (SELECT a, b, a FROM k UNION SELECT r.a, r.b, u.dst FROM r JOIN u ON u.src = r.x AND NOT (u.src = r.a AND u.dst = r.b) AND NOT (u.src = r.b AND u.dst = r.a))
+SELECT k.a, k.b FROM k LEFT JOIN r ON r.a = k.a AND r.b = k.b AND r.x = k.b WHERE r.a IS NULL""")
+def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut(spark, sf_dir).where("kind = 'bridge'").select("a", "b")
+
+
+@query(f"""WITH RECURSIVE {PART}, {NEAR}, {UREACH}, {WEAK}, s AS (SELECT component FROM weak GROUP BY component HAVING count(*) >= 2)
+SELECT x.component AS a, y.component AS b FROM s x JOIN s y ON x.component < y.component ORDER BY 1, 2 LIMIT 1000""")
+def knowledge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.gaps(C.weak_components(*D.part_handoff(spark, sf_dir)))[0]
+
+
+@query(f"""WITH {SUP}, {NEAR}, k AS (SELECT src, count(*) AS d FROM u GROUP BY src),
+p AS (SELECT x.dst AS a, y.dst AS b, count(*) AS shared, sum(1 / ln(d)) AS aa FROM u x JOIN u y ON x.src = y.src AND x.dst < y.dst JOIN k ON k.src = x.src AND d BETWEEN 2 AND 256 GROUP BY x.dst, y.dst)
+SELECT a, b, shared, (SELECT count(*) FROM e i JOIN e j ON i.dst = j.dst WHERE i.src = a AND j.src = b) AS coupling,
+  (SELECT count(*) FROM e i JOIN e j ON i.src = j.src WHERE i.dst = a AND j.dst = b) AS co_citation, round(aa, 6) AS adamic_adar
+FROM p WHERE shared >= 2 AND NOT EXISTS (SELECT 1 FROM u WHERE u.src = a AND u.dst = b) ORDER BY aa DESC, shared DESC, a, b LIMIT 1000""")
+def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.link_prediction(D.supplier_handoff(spark, sf_dir)[1])[0].withColumn("adamic_adar", F.round("adamic_adar", 6))
+
+
+@query(f"WITH {SUP} SELECT dst AS id, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS backlinks, count(*) AS n FROM e GROUP BY dst")
+def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.backlinks(D.supplier_handoff(spark, sf_dir)[1]).select("id", F.array_join(F.transform("backlinks", lambda x: x.cast("string")), ",").alias("backlinks"), F.size("backlinks").cast("long").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {SUP}, o AS (SELECT src AS a FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), walk(id, d) AS (SELECT a, 0 FROM o UNION SELECT e.dst, walk.d + 1 FROM walk JOIN e ON e.src = walk.id WHERE walk.d < 60),
+d AS (SELECT id, min(d) AS d FROM walk GROUP BY id), p(id, d, path) AS (SELECT a, 0, [a] FROM o UNION ALL SELECT e.dst, p.d + 1, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.id JOIN d ON d.id = e.dst AND d.d = p.d + 1),
+f AS (SELECT min(path) AS path FROM p WHERE p.id = (SELECT id FROM d ORDER BY d DESC, id DESC LIMIT 1)) SELECT CAST(i AS INTEGER) AS place, path[i + 1] AS id FROM (SELECT path, unnest(range(0, len(path))) AS i FROM f)""")
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proj = D.supplier_handoff(spark, sf_dir)[1]
+    start = proj.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").first()["src"]
+    end = B.hops(proj, spark.range(1).select(F.lit(start).alias("id"))).orderBy(F.desc("hops"), F.desc("id")).first()["id"]
+    return spark.createDataFrame(list(enumerate(B.shortest_path(proj, start, end))), "place int, id long")
+
+
+@query()
+def trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    weak = C.weak_components(nodes, proj)
+    return C.trails(nodes, proj, weak, C.strong_components(nodes, proj, weak), R.pagerank(nodes, proj))
+
+
+# --- text -----------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+def _tokens_sql(x: str) -> str:
+    return f"list_sort(list_distinct([w FOR w IN regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{Nd}}]+') IF strlen(w) > 1 AND w NOT IN ({_STOP})]))"
+
+
+@query(f"SELECT item_id, array_to_string({_tokens_sql('text')}, ' ') AS tokens FROM benchmark")
+def scent_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+
+
+_ANCHORS = """a AS (SELECT page_id, i AS ord, regexp_extract(l, 'href="([^"]*)"', 1) AS href, regexp_extract(l, '>([^<]*)<', 1) AS anchor, title FROM
+ (SELECT page_id, title, ls[i] AS l, i FROM (SELECT page_id, title, ls, unnest(range(1, len(ls) + 1)) AS i FROM
+  (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS ls FROM pages))))"""
+
+
+@query(f"""WITH {_ANCHORS}, k AS (SELECT page_id, ord, anchor, title, {_tokens_sql('anchor')} AS x, {_tokens_sql('title')} AS y FROM a),
+s AS (SELECT page_id, ord, anchor, title, CASE WHEN lower(trim(anchor)) IN ({", ".join(f"'{w}'" for w in T.SCENT_FREE)}) OR len(x) = 0 OR len(y) = 0 THEN 0.0
+  ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS score FROM k)
+SELECT page_id, CAST(ord AS INTEGER) AS ord, anchor, round(score, 6) AS score FROM s WHERE score < 0.2""")
+def low_scent_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = D.page_anchors(spark, sf_dir)
+    candidates = links.select("page_id", "title").distinct().select("page_id", F.lit(0).alias("ord"), F.col("title").alias("text"))
+    mine = links.select("page_id", F.col("ord").alias("place"), "anchor", F.lit("").alias("target"))
+    return S.scored(mine, candidates, ["page_id"]).where(F.col("score") < T.LOW_SCENT).select("page_id", F.col("place").alias("ord"), "anchor", _r6("score"))
+
+
+# --- paths and resolution -------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN k % 4 = 0 THEN b || '/' || t WHEN k % 4 = 1 THEN 'x/' || t WHEN k % 4 = 2 THEN t ELSE 'x/' || b || '/' || t END AS path
+FROM (SELECT p_partkey, p_partkey AS k, replace(p_brand, '#', '-') AS b, replace(p_type, ' ', '-') AS t FROM part)""")
+def path_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("-")).alias("b"), F.replace("p_type", F.lit(" "), F.lit("-")).alias("t"))
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.concat(F.lit("./x/../"), F.col("b"), F.lit("//"), F.col("t"))).when(k == 1, F.concat(F.lit("x/"), F.col("b"), F.lit("/../"), F.col("t"), F.lit("/."))).when(
+        k == 2, F.concat(F.lit("x/"), F.col("b"), F.lit("/../../"), F.col("t"))).otherwise(F.concat(F.lit("x/./"), F.col("b"), F.lit("/"), F.col("t")))
+    return part.select("p_partkey", P.clean(raw).alias("path"))
+
+
+@query("SELECT p_partkey, p_type AS path FROM part WHERE p_type IN ('STANDARD', 'LARGE')")
+def path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("path"))
+    return part.where(P.matches_any(F.col("path"), ["ST*RD", "[A-L]ARG?"]))
+
+
+_PATHS = r"""docs AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^./]+[.]([^/?#]*)', 1) || '/' ||
+ regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '(/|[.]html)$', '') || '.md' AS doc_id FROM pages)"""
+
+
+@query(f"""WITH {_PATHS} SELECT regexp_replace(doc_id, '/[^/]*$', '') AS dir, count(*) AS children, min(doc_id) AS first_child FROM docs GROUP BY 1""")
+def directory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.directories(D.page_paths(spark, sf_dir)).select("dir", F.size("children").cast("long").alias("children"), F.col("children")[0].alias("first_child"))
+
+
+_REFS = "refs AS (SELECT page_id AS ref, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '(/|[.]html)$', '') AS target FROM pages)"
+
+
+def _wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1), r"(/|[.]html)$", "")
+    refs = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("ref"), path.alias("target"))
+    return J.wikilinks(refs, D.page_paths(spark, sf_dir), spark.createDataFrame([], "alias string, doc_id string"))
+
+
+@query(f"""WITH {_PATHS}, {_REFS}, m AS (SELECT ref, count(*) AS k, min(doc_id) AS doc FROM refs JOIN docs ON doc_id = target || '.md' OR ends_with(doc_id, '/' || target || '.md') GROUP BY ref)
+SELECT refs.ref, CASE WHEN k = 1 THEN 'valid' WHEN k > 1 THEN 'ambiguous' ELSE 'broken' END AS health, CASE WHEN k = 1 THEN doc END AS doc, CAST(CASE WHEN k > 1 THEN k ELSE 0 END AS INTEGER) AS candidates
+FROM refs LEFT JOIN m ON m.ref = refs.ref""")
+def suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wikilinks(spark, sf_dir).select("ref", "health", "doc", F.size("candidates").alias("candidates"))
+
+
+@query(f"""WITH {_PATHS}, {_REFS}, m AS (SELECT ref, count(*) AS k FROM refs JOIN docs ON doc_id = target || '.md' OR ends_with(doc_id, '/' || target || '.md') GROUP BY ref)
+SELECT CASE WHEN k = 1 THEN 'valid' WHEN k > 1 THEN 'ambiguous' ELSE 'broken' END AS health, count(*) AS n FROM refs LEFT JOIN m ON m.ref = refs.ref GROUP BY 1""")
+def link_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wikilinks(spark, sf_dir).groupBy("health").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(lower(href), '^(https?://|mailto:|ftp://|file://|data:|//)') THEN 'external' ELSE 'relative-link' END AS type, count(*) AS n
+FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1, 2""")
+def link_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hrefs = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("href"))
+    return hrefs.select("page_id", F.when(T.is_external(F.col("href")), "external").otherwise("relative-link").alias("type")).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SUP}, {DEG}, f AS (SELECT id, in_degree, CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'orphan' WHEN out_degree = 0 THEN 'dead-end' WHEN in_degree < 3 THEN 'under-linked' END AS kind FROM deg)
+SELECT id, kind, in_degree FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY in_degree, id) AS r FROM f WHERE kind IS NOT NULL) WHERE r <= 20""")
+def capped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deg = G.degrees(*D.supplier_handoff(spark, sf_dir))
+    kind = F.when((F.col("in_degree") == 0) & (F.col("out_degree") == 0), "orphan").when(F.col("out_degree") == 0, "dead-end").when(F.col("in_degree") < 3, "under-linked")
+    found = deg.select("id", kind.alias("kind"), "in_degree").where("kind IS NOT NULL")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("in_degree", "id"))).where("r <= 20").drop("r")
+
+
+@query(f"""WITH {SUP}, {DEG} SELECT CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'orphan' WHEN out_degree = 0 THEN 'dead-end' WHEN in_degree < 3 THEN 'under-linked' ELSE 'none' END AS kind, count(*) AS n FROM deg GROUP BY 1""")
+def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deg = G.degrees(*D.supplier_handoff(spark, sf_dir))
+    kind = F.when((F.col("in_degree") == 0) & (F.col("out_degree") == 0), "orphan").when(F.col("out_degree") == 0, "dead-end").when(F.col("in_degree") < 3, "under-linked").otherwise("none")
+    return deg.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
