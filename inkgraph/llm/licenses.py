@@ -85,7 +85,7 @@ def rules() -> tuple[tuple[tuple[str, ...], str, str, int, float], ...]:
                 short = rf"{name}{licence}(?: version| v)? {major}(?! \d)"
                 add(NOTICE_WORDS, NOTICE + short, tagged, 4, 1.0)
                 add([gate], short, tagged, 3, 0.85)
-                if name == label:
+                if name == label and name not in WEAK:
                     add([f"{gate}v{major}", f"{gate}{major}"], rf"{gate}v?{major}", tagged, 3, 0.85)
         add(NOTICE_WORDS, NOTICE + name + r"(?: public)? licen[cs]e", label, 2, 0.8)
         add([gate], name + r"(?: public)? licen[cs]e", label, 1, 0.6)
