@@ -44,8 +44,15 @@ class Scratch:
         df.write.parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
+    def _at(self, table: str | None):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}" if table else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def has(self, table: str) -> bool:
+        path, files = self._at(table)
+        return files.exists(path)
+
     def drop(self, table: str | None = None) -> None:
         """Delete one table, or all of them, once nothing reads it any more."""
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}" if table else self.path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        path, files = self._at(table)
+        files.delete(path, True)
