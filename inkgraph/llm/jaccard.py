@@ -14,16 +14,25 @@ signature was shared, has to share one:
   the count suffices.  The number of subclasses depends on a size band (a power of two), so
   the pairs stay in proportion to the set; sets near a band's end use both bands.
 
-Frequent are tokens of at least ``max(MIN_FREQUENT, tokens / MAX_FREQUENT)`` places, found by
-mergeable Misra-Gries summaries; there are ``MAX_FREQUENT`` of them at most, so their list has
-a size bound.  A token taken for the wrong class costs time, never a result.
-
-Candidates.  No group is expanded into all its pairs: in each signature's group all members
-meet one pivot (for pairs of frequent tokens, one for each salt, and the salts' pivots meet).
-Components are formed from the verified links.  Groups whose members are all in one component
-are done; in the others, members of different components meet in blocks of pivots, and
-components are formed again.  So every link between different components is looked at.
-Every candidate is verified on the whole sets.
+Frequent are tokens that stand in more than ``MIN_FREQUENT`` prefixes by hash alone, counted
+over all documents (and in more than a ``MAX_FREQUENT``-th of all such places, so their list
+has a size bound).  A token taken for the wrong class costs time, never a result.
+
+Candidates.  First, in each signature's group all members meet one pivot (for pairs of
+frequent tokens, one for each salt, and the salts' pivots meet); the pairs that a bound lets
+pass are components for now, and groups inside one of them wait.  In the other groups,
+members of different components meet where their group is, in blocks of ``BLOCK`` rows, so
+that a large group is many tasks' work.  Of the pairs that the bound lets pass, a block hands
+on a spanning forest of its components, so no more pairs than it has rows.  Both kinds of
+pairs are verified, and components formed from the true links.  Then all groups that are
+still in several components hand on all their pairs that the bound lets pass.  So every link
+between different components is looked at, and groups of alike texts never become all their
+pairs.
+
+The bounds: a sketch counts a set's tokens by ``CELLS`` hash cells, so two sets share no more
+than the sum of the smaller counts; and it has the parity of the counts of 8 times as many
+finer cells, so two sets differ in no fewer tokens than there are cells of different parity.
+Pairs that pass both are verified on the whole sets.
 
 Defined cases: a text with fewer words than a shingle has one token, its whole word sequence;
 a text without words has none and no link; null texts are empty; a null id is a document
@@ -45,12 +54,13 @@ from ..operators.components import component_of
 from ..plans.lineage import Scratch
 from .text import pack, pick
 
-MIN_FREQUENT = 32
-MAX_FREQUENT = 500_000
+MIN_FREQUENT = 16
+MAX_FREQUENT = 4_000_000
 SALTS = 16
-PIVOT_BLOCKS = (8, None)  # after the first pivot: the next 8 of a group, then the rest
-SLICE_BYTES = 1 << 20
-SUMMARY = 1 << 18
+BLOCK = 1024
+CELLS = 64
+SLICE_BYTES = 1 << 18
+COUNTED = 1 << 19
 BITS = 24
 
 # --- tokens ---------------------------------------------------------------------------
@@ -115,19 +125,19 @@ def token_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     out = [shingles[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     for i in np.flatnonzero((counts > 0) & (counts < width)):
         few = words[first[i] : first[i + 1]]
-        value = np.uint64(len(few))
-        for k, w in enumerate(few):
-            value = mix(np.array([value + w * np.uint64(_STEPS[40 + k % 20])], np.uint64))[0]
-        out[i] = np.array([value], np.uint64)
+        value = np.array([len(few)], np.uint64)
+        for k in range(len(few)):
+            value = mix(value + few[k : k + 1] * np.uint64(_STEPS[40 + k % 20]))
+        out[i] = value
     return out
 
 
 def _slices(batch: pa.RecordBatch):
     """(row numbers, texts as bytes), about ``SLICE_BYTES`` together."""
     rows, run, size = [], [], 0
-    for i, x in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+    for i, x in enumerate(batch.column("text").cast(pa.binary())):
         rows.append(i)
-        run.append(x or b"")
+        run.append(x.as_py() or b"")
         size += len(run[-1])
         if size >= SLICE_BYTES:
             yield rows, run
@@ -140,47 +150,64 @@ def _digest(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Misra-Gries merge: at most ``limit`` tokens stay, their counts less what the rest had."""
-    tokens, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    tokens, inverse = np.unique(tokens, return_inverse=True)
-    counts = np.bincount(inverse, counts, len(tokens)).astype(np.int64)
-    if len(tokens) > limit:
-        counts -= np.partition(counts, -limit - 1)[-limit - 1]
-        tokens, counts = tokens[counts > 0], counts[counts > 0]
-    return tokens, counts
+def sketch(tokens: np.ndarray) -> bytes:
+    """Tokens by hash cell, counted up to 255; then the parities of the counts of finer cells, as bits."""
+    cell = (tokens >> np.uint64(20)).astype(np.int64)
+    coarse = np.minimum(np.bincount(cell % CELLS, minlength=CELLS), 255).astype(np.uint8)
+    return coarse.tobytes() + np.packbits(np.bincount(cell // CELLS % (8 * CELLS), minlength=8 * CELLS) & 1).tobytes()
+
+
+def sketches_of(cells: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.uint8).reshape(-1, 2 * CELLS)
+
+
+def at_most_shared(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Upper bounds of shared tokens of sets of ``n`` and ``m`` tokens, from their sketches, row by row."""
+    low = np.minimum(left[:, :CELLS], right[:, :CELLS])
+    by_count = np.where((low == 255).any(1), 2**30, low.sum(1, dtype=np.int64))
+    differ = np.bitwise_count(left[:, CELLS:] ^ right[:, CELLS:]).sum(1, dtype=np.int64)
+    return np.minimum(np.minimum(by_count, (n + m - differ) // 2), np.minimum(n, m))
+
+
+def _may_link(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    shared = at_most_shared(left, right, n, m)
+    return 100 * shared >= percent * (n + m - shared)
 
 
-def _profile(width: int, id_type: str):
-    """Rows of (id, n, digest) for the texts and (token, places) for the summary of a partition."""
+def _profile(width: int, percent: int, id_type: str):
+    """Rows of (id, n, digest, sketch) for the texts and (token, places) for the tokens of their prefixes."""
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(T._parse_datatype_string(id_type))
+    names = ["id", "n", "digest", "sketch", "token", "places"]
+
+    def counted(fresh: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(fresh), return_counts=True)
+        n = len(tokens)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts)], names)
 
     def run(batches):
-        held, fresh, size = [], [], 0
+        fresh, size, seen = [], 0, set()
         for batch in batches:
-            ids, ns, digests = batch.column("id"), [], []
+            ids, ns, digests, sketches = batch.column("id"), [], [], []
             for _, texts in _slices(batch):
                 for tokens in token_sets(texts, width):
+                    name = _digest(tokens)
                     ns.append(len(tokens))
-                    digests.append(_digest(tokens))
-                    fresh.append(tokens)
-                    size += len(tokens)
-                if size > 8 * SUMMARY:
-                    tokens, counts = np.unique(np.concatenate(fresh), return_counts=True)
-                    held, fresh, size = [_summed([*held, (tokens, counts)], SUMMARY)], [], 0
+                    digests.append(name)
+                    sketches.append(sketch(tokens))
+                    if name not in seen:
+                        seen.add(name)
+                        fresh.append(tokens[: needed(len(tokens), percent)])
+                        size += len(fresh[-1])
             n = len(ns)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["id", "n", "digest", "token", "places"])
-        if size:
-            tokens, counts = np.unique(np.concatenate(fresh), return_counts=True)
-            held = [_summed([*held, (tokens, counts)], SUMMARY)]
-        if held:
-            tokens, counts = held[0]
-            tokens, counts = tokens[counts > 1], counts[counts > 1]
-            n = len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], ["id", "n", "digest", "token", "places"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            if size > COUNTED:
+                yield counted(fresh)
+                fresh, size = [], 0
+        if fresh:
+            yield counted(fresh)
 
     return run
 
@@ -188,13 +215,18 @@ def _profile(width: int, id_type: str):
 # --- signatures -----------------------------------------------------------------------
 
 
+def needed(n: int, percent: int) -> int:
+    """Tokens of a set of ``n`` that would have to be missing without a shared signature; 0 if only equal sets link."""
+    least = -(-percent * n // 100)
+    return 0 if least == n and 100 * n // percent == n else n - least + 1
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(signatures of rare tokens, signatures of pairs of frequent tokens) of one set; ``frequent`` is a mask."""
     n = len(tokens)
-    least = -(-percent * n // 100)
-    if least == n and 100 * n // percent == n:
-        return tokens[:0], tokens[:0]  # links with equal sets alone
-    need = n - least + 1
+    need, least = needed(n, percent), -(-percent * n // 100)
+    if not need:
+        return tokens[:0], tokens[:0]
     rare, common = tokens[~frequent], tokens[frequent]
     if len(rare) >= need:
         return rare[:need], tokens[:0]
@@ -253,18 +285,16 @@ def _postings(width: int, percent: int, frequent):
 
 def bitmap(values: DataFrame, position: str) -> np.ndarray:
     """Bits of ``position`` (0 <= position < 2**BITS): 2**BITS bits, however many rows."""
-    rows = values.groupBy(F.expr(f"bitmap_bucket_number({position})").alias("k")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({position}))").alias("b")).collect()
-    out = np.zeros((1 << BITS) + (1 << 16), np.uint8)
+    rows = values.groupBy(F.expr(f"bitmap_bucket_number({position} + 1)").alias("k")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({position} + 1))").alias("b")).collect()
+    out = np.zeros((1 << BITS) // 8, np.uint8)
     for r in rows:
-        bits = np.unpackbits(np.frombuffer(bytes(r["b"]), np.uint8), bitorder="little")
-        start = (r["k"] - 1) * len(bits) + 1  # the first bucket, number 1, begins at position 1
-        lo = max(start, 0)
-        out[lo : start + len(bits)] |= bits[lo - start : len(bits)]
-    return np.packbits(out.astype(bool))
+        part = np.frombuffer(bytes(r["b"]), np.uint8)
+        out[(r["k"] - 1) * len(part) : r["k"] * len(part)] = part
+    return out
 
 
 def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 # --- join -----------------------------------------------------------------------------
@@ -278,11 +308,16 @@ class _Join:
         self.scratch = Scratch(self.spark, "jaccard")
         self.rows = df.select(pick(df, id_col).alias("id"), pick(df, text_col).alias("text"))
         kind = self.rows.schema["id"].dataType.simpleString()
-        both = self.scratch.write(self.rows.mapInArrow(_profile(width, kind), f"id {kind}, n long, digest binary, token long, places long"), "profile")
-        self.docs = both.where("n IS NOT NULL").select("id", "n", "digest")
-        total = self.docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        cut = max(MIN_FREQUENT, -(-total // MAX_FREQUENT))
-        frequent = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("places").alias("n")).where(F.col("n") >= cut).select("token").toArrow()
+        both = self.rows.mapInArrow(_profile(width, percent, kind), f"id {kind}, n long, digest binary, sketch binary, token long, places long")
+        both.withColumn("part", F.col("n").isNull().cast("int")).write.partitionBy("part").parquet(f"{self.scratch.path}/profile")
+        read = self.spark.read.schema(both.schema)
+        texts, tokens = (read.parquet(f"{self.scratch.path}/profile/part={k}") if self.scratch.has(f"profile/part={k}") else self.spark.createDataFrame([], both.schema) for k in (0, 1))
+        self.docs = texts.select("id", "n", "digest")
+        self.sketches = texts.where("digest IS NOT NULL").select("digest", "n", "sketch")
+        total = tokens.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+        cut = max(MIN_FREQUENT, total // MAX_FREQUENT)
+        frequent = tokens.groupBy("token").agg(F.sum("places").alias("n")).where(F.col("n") > cut).select("token").toArrow()
+        self.scratch.drop("profile/part=1")
         self.frequent = self.spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
@@ -295,9 +330,8 @@ class _Join:
         across = salted.withColumn("p", F.min(F.struct("digest", "n")).over(Window.partitionBy("sig")))
         return met, _apart(met.select("digest", "n", "p").unionByName(across.select("digest", "n", "p")), self.percent)
 
-    def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """(digest, tokens) of all classes in ``pairs``; a bitmap of bounded size spares most others the way."""
-        ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    def sets_of(self, ends: DataFrame) -> DataFrame:
+        """(digest, tokens) of the classes ``ends(digest)``; a bitmap of bounded size spares most others the way."""
         bits = self.spark.sparkContext.broadcast(bitmap(ends.select(F.conv(F.substring(F.hex("digest"), 1, BITS // 4), 16, 10).cast("long").alias("at")), "at"))
         width = self.width
 
@@ -311,52 +345,137 @@ class _Join:
                         if name and name not in seen and _has(held, np.array([int.from_bytes(name[: BITS // 8], "big")]))[0]:
                             seen.add(name)
                             names.append(name)
-                            sets.append(tokens.tobytes())
+                            sets.append(tokens.view(np.int64))
                     if names:
-                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["digest", "tokens"])
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "tokens"])
 
-        sets = self.rows.mapInArrow(run, "digest binary, tokens binary")
+        sets = self.rows.mapInArrow(run, "digest binary, tokens array<bigint>")
         return sets.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough."""
-        pairs = self.scratch.write(pairs, f"pairs-{name}")
-        sets = self.scratch.write(self.sets_of(pairs), f"sets-{name}")
+    def classes_of(self, ends: DataFrame) -> DataFrame:
+        """(digest, n, sketch) of the classes in ``ends``, one row each."""
+        return self.sketches.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
+    def pruned(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that the sketches let pass."""
+        pairs = self.scratch.write(pairs, f"met-{name}")
+        both = self.scratch.write(self.classes_of(_ends(pairs)), f"sketches-{name}")
         percent = self.percent
 
         @arrow_udf(BooleanType())
-        def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-            out = []
-            for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                out.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            return pa.array(out, pa.bool_())
+        def may(left: pa.Array, right: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+            x, y = (sketches_of(v.to_pylist()) for v in (left, right))
+            return pa.array(_may_link(x, y, n.to_numpy(zero_copy_only=False), m.to_numpy(zero_copy_only=False), percent))
 
+        left, right = (both.select(F.col("digest").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in "ab")
+        return pairs.join(left, "a").join(right, "b").where(may("sa", "sb", "na", "nb")).select("a", "b")
+
+    def links(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose sets are similar enough."""
+        sets = sets.join(_ends(pairs), "digest", "left_semi")
         wide = pairs.join(sets.select(F.col("digest").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("digest").alias("b"), F.col("tokens").alias("tb")), "b")
-        return self.scratch.write(wide.where(similar("ta", "tb")).select("a", "b"), f"links-{name}")
+        shared = wide.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("k"))
+        return self.scratch.write(shared.where(100 * F.col("k") >= self.percent * (F.col("n") - F.col("k"))).select("a", "b"), f"links-{name}")
+
+    def across(self, groups: DataFrame, label: DataFrame, forest: bool, name: str) -> DataFrame:
+        """Pairs (a, b) of one signature and different components that the sketches let pass,
+        or a spanning forest of them; and a row (a, null) for each class with such a pair."""
+        named = groups.select("sig", "digest").join(label.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        named = self.scratch.write(named, f"named-{name}")
+        mixed = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        open_ = self.scratch.write(named.join(mixed, "sig").withColumn("mine", F.pmod(F.xxhash64("digest"), "blocks").cast("int")), f"open-{name}")
+        self.scratch.drop(f"named-{name}")
+        known = self.scratch.write(self.classes_of(open_.select("digest").distinct()), f"classes-{name}")
+        # block pair (i, j), i <= j, gets the rows of both blocks
+        others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
+        spread = open_.withColumn("at", F.explode(others)).select("sig", "at.i", "at.j", "mine", "digest", "component").join(known, "digest")
+        spread = spread.select("sig", "i", "j", "mine", "digest", "component", "n", "sketch")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        met = spread.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "digest").mapInArrow(_meet(self.percent, forest), "a binary, b binary")
+        found = self.scratch.write(met.distinct(), f"across-{name}")
+        for table in ("open", "classes"):
+            self.scratch.drop(f"{table}-{name}")
+        return found
 
     def components(self) -> DataFrame:
         """(digest, component) of every class with a link."""
         groups, pairs = self.candidates()
-        links = self.links(pairs, "0")
-        done = 1
-        for k, block in enumerate(PIVOT_BLOCKS, 1):
-            label = component_of(links, "a", "b")
-            named = groups.select("sig", "digest", "n").join(label.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-            mixed = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-            open_ = self.scratch.write(named.join(mixed, "sig", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy("digest")) - 1), f"open-{k}")
-            pivots = open_.where(F.col("place") >= (done if k > 1 else 0)).where(F.col("place") < (done + block if block else 2**31 - 1))
-            met = open_.alias("m").join(pivots.alias("q"), F.expr("m.sig = q.sig AND m.place > q.place AND m.component <> q.component"))
-            more = _apart(met.select(F.col("m.digest").alias("digest"), F.col("m.n").alias("n"), F.struct(F.col("q.digest").alias("digest"), F.col("q.n").alias("n")).alias("p")), self.percent)
-            more = more.join(pairs, ["a", "b"], "left_anti")
-            if open_.isEmpty():
-                return label
-            links = links.unionByName(self.links(more, str(k)))
-            done = block or done
-        return component_of(links, "a", "b")
+        groups = groups.select("sig", "digest")
+        pairs = self.scratch.write(self.pruned(pairs, "0"), "pairs-0")
+        met = self.across(groups, component_of(pairs, "a", "b"), True, "1")
+        # a class of any pair to come is in a pair so far, or has one that passes here
+        alive = self.scratch.write(_ends(pairs).unionByName(met.where("b IS NULL").select(F.col("a").alias("digest"))).distinct(), "alive")
+        sets = self.scratch.write(self.sets_of(alive), "sets")
+        tried = self.scratch.write(pairs.unionByName(met.where("b IS NOT NULL")).distinct(), "pairs-1")
+        links = self.links(tried, sets, "1")
+        label = self.scratch.write(component_of(links, "a", "b"), "label")
+        more = self.across(groups.join(alive, "digest", "left_semi"), label, False, "2").where("b IS NOT NULL").join(tried, ["a", "b"], "left_anti")
+        more = self.scratch.write(more, "pairs-2")
+        return label if more.isEmpty() else component_of(links.unionByName(self.links(more, sets, "2")), "a", "b")
+
+
+def _meet(percent: int, forest: bool):
+    """Compare the rows of one (sig, i, j) at a time; they come sorted by it."""
+
+    def pairs_of(rows: list[tuple], told: set) -> None:
+        _, i, j, mine, digest, component, n, cells = zip(*rows, strict=True)
+        name = {c: k for k, c in enumerate(dict.fromkeys(component))}
+        if len(name) == 1:
+            return
+        comp, side, size = np.array([name[c] for c in component]), np.array(mine), np.array(n)
+        table = sketches_of(cells)
+        chief = list(range(len(name)))  # a forest over the components of these rows
+        step = max(1, (1 << 16) // len(rows))
+        for at in range(0, len(rows), step):
+            x = slice(at, at + step)
+            ok = comp[x, None] != comp[None]
+            ok &= 100 * np.minimum(size[x, None], size[None]) >= percent * np.maximum(size[x, None], size[None])
+            ok &= np.arange(len(rows))[x, None] < np.arange(len(rows))[None]
+            if i[0] != j[0]:
+                ok &= side[x, None] != side[None]
+            left, right = np.nonzero(ok)
+            left += at
+            may = _may_link(table[left], table[right], size[left], size[right], percent)
+            left, right = left[may], right[may]
+            told.update((digest[p], None) for p in np.unique(np.concatenate((left, right))).tolist())
+            for p, q in zip(left.tolist(), right.tolist(), strict=True):
+                if forest:
+                    a, b = comp[p], comp[q]
+                    while chief[a] != a:
+                        chief[a] = a = chief[chief[a]]
+                    while chief[b] != b:
+                        chief[b] = b = chief[chief[b]]
+                    if a == b:
+                        continue
+                    chief[max(a, b)] = min(a, b)
+                told.add((min(digest[p], digest[q]), max(digest[p], digest[q])))
+
+    def run(batches):
+        key, held, told = None, [], set()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        pairs_of(held, told)
+                    key, held = row[:3], []
+                held.append(row)
+            if len(told) > 200_000:
+                yield _rows(told)
+                told = set()
+        if len(held) > 1:
+            pairs_of(held, told)
+        if told:
+            yield _rows(told)
+
+    return run
+
+
+def _rows(told: set) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*told, strict=True)], ["a", "b"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
 
 
 def _apart(met: DataFrame, percent: int) -> DataFrame:
