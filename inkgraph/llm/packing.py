@@ -44,7 +44,7 @@ from ..plans.lineage import Scratch
 from .text import is_latin, latin_twin, pick
 
 CAPACITY = 2048
-CACHE_ROWS = 800_000
+CACHE_ROWS = 400_000
 SLICE_CHARS = 1 << 20
 
 # --- tokens ---------------------------------------------------------------------------
