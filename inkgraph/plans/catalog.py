@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import components as C
+from ..operators import conformance as V
 from ..operators import graph as G
 from ..operators import paths as A
 from ..operators import rank as R
@@ -370,3 +371,118 @@ def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     deg = G.degrees(*D.supplier_handoff(spark, sf_dir))
     kind = F.when((F.col("in_degree") == 0) & (F.col("out_degree") == 0), "orphan").when(F.col("out_degree") == 0, "dead-end").when(F.col("in_degree") < 3, "under-linked").otherwise("none")
     return deg.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- corpus tables derived from pages, parts and orders ---------------------------------
+
+_PAGE = r"""(SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^./]+[.]([^/?#]*)', 1) || '/' || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '(/|[.]html)$', '') || '.md' AS doc_id,
+ regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", "^[a-z]+://[^./]+[.]([^/?#]*)", 1)
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^?#]*)", 1), r"(/|[.]html)$", "")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.concat(host, F.lit("/"), path, F.lit(".md")).alias("doc_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query(f"SELECT DISTINCT title AS alias, doc_id FROM {_PAGE} WHERE title <> '' UNION SELECT DISTINCT regexp_extract(doc_id, '([^/]*)[.]md$', 1), doc_id FROM {_PAGE}")
+def alias_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    names = F.array(F.col("title"), F.regexp_extract("doc_id", "([^/]*)[.]md$", 1))
+    return pages.select(F.explode(names).alias("alias"), "doc_id").where("alias <> ''").distinct()
+
+
+@query(f"""WITH p AS {_PAGE}, a AS (SELECT DISTINCT doc_id, 'section' AS kind, 'top' AS anchor FROM p WHERE page_id % 2 = 0 UNION SELECT DISTINCT doc_id, 'literal', 'top' FROM p WHERE page_id % 3 = 0),
+k AS (SELECT doc_id, max(CASE WHEN kind = 'section' THEN 1 ELSE 0 END) AS s FROM a GROUP BY doc_id), r AS (SELECT page_id AS ref, doc_id, regexp_extract(url, '#(.*)$', 1) AS fragment FROM p)
+SELECT ref, CASE WHEN fragment <> '' AND s IS NULL THEN 'broken-anchor' ELSE 'valid' END AS health, CASE WHEN fragment = '' THEN 'document' WHEN s IS NULL THEN 'none' WHEN s = 1 THEN 'section' ELSE 'document' END AS target_kind,
+ CASE WHEN fragment <> '' AND s IS NOT NULL THEN fragment ELSE '' END AS anchor FROM r LEFT JOIN k ON k.doc_id = r.doc_id""")
+def fragment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    anchors = pages.where("page_id % 2 = 0").select("doc_id", F.lit("top").alias("anchor"), F.lit("section").alias("kind")).unionByName(pages.where("page_id % 3 = 0").select("doc_id", F.lit("top").alias("anchor"), F.lit("literal").alias("kind")))
+    refs = pages.select(F.col("page_id").alias("ref"), F.regexp_extract("url", "#(.*)$", 1).alias("fragment"))
+    found = pages.select(F.col("page_id").alias("ref"), F.lit("valid").alias("health"), F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("directory"))
+    return J.with_fragments(found, refs, anchors).select("ref", "health", "target_kind", "anchor")
+
+
+@query(f"""WITH p AS {_PAGE}, d AS (SELECT DISTINCT doc_id FROM p), f AS (SELECT DISTINCT regexp_replace(doc_id, '/[^/]*$', '') AS dir FROM d),
+r AS (SELECT page_id AS ref, regexp_replace(doc_id, '/[^/]*$', '') AS dir, page_id % 4 AS k, regexp_extract(doc_id, '([^/]*)$', 1) AS base, regexp_extract(doc_id, '^(.*)/[^/]*/[^/]*$', 1) AS up FROM p),
+t AS (SELECT ref, CASE k WHEN 0 THEN dir || '/' || base WHEN 1 THEN up || '/en/' || base WHEN 2 THEN dir ELSE NULL END AS path FROM r)
+SELECT ref, CASE WHEN path IN (SELECT doc_id FROM d) OR path IN (SELECT dir FROM f) THEN 'valid' ELSE 'broken' END AS health, CASE WHEN path IN (SELECT doc_id FROM d) THEN path END AS doc,
+ CASE WHEN path IN (SELECT dir FROM f) THEN path END AS directory FROM t""")
+def relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    k, base = F.col("page_id") % 4, T.base_name(F.col("doc_id"))
+    target = F.when(k == 0, F.concat(F.lit("./x/../"), base)).when(k == 1, F.concat(F.lit("..\\en/"), base)).when(k == 2, F.concat(F.lit("/"), T.dir_name(F.col("doc_id")), F.lit("/"))).otherwise(F.lit("../../../../../up.md"))
+    refs = pages.select(F.col("page_id").alias("ref"), F.col("doc_id").alias("origin"), target.alias("target"))
+    return J.relative(refs, pages.select("doc_id").distinct(), spark.createDataFrame([], "path string")).select("ref", "health", "doc", "directory")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS ord, sum(l_quantity) OVER w - l_quantity AS start_line, sum(l_quantity) OVER w AS end_line FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+r AS (SELECT o_orderkey AS doc, o_orderkey % 60 AS line FROM orders)
+SELECT r.doc, CAST(line AS BIGINT) AS line, CAST(max(ord) AS INTEGER) AS section FROM r JOIN s ON s.doc = r.doc AND line BETWEEN start_line AND end_line GROUP BY r.doc, line""")
+def origin_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    sections = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), (F.sum("l_quantity").over(inside) - F.col("l_quantity")).alias("start_line"), F.sum("l_quantity").over(inside).alias("end_line"))
+    refs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") % 60).alias("line"))
+    return refs.join(sections, "doc").where("line BETWEEN start_line AND end_line").groupBy("doc", "line").agg(F.max("ord").cast("int").alias("section"))
+
+
+@query(_hits_sql(ROUNDS).replace(f" SELECT h{ROUNDS}.id, round(h, 6) AS hub, round(a, 6) AS authority FROM", ", " + DEG + f""", v AS (SELECT h{ROUNDS}.id, a FROM""") + """)
+SELECT v.id, CAST(row_number() OVER (ORDER BY round(a, 9) DESC, in_degree DESC, v.id) AS INTEGER) AS place, row_number() OVER (ORDER BY round(a, 9) DESC, in_degree DESC, v.id) <= 20 AS primary FROM v JOIN deg ON deg.id = v.id""")
+def importance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    scores = R.hits(nodes, proj, tolerance=None, max_rounds=ROUNDS).withColumn("authority", F.round("authority", 9)).join(G.degrees(nodes, proj), "id")
+    return G.ranked_split(scores)
+
+
+_BUNDLE = """(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'index.md' WHEN 1 THEN 'log.md' ELSE 'doc.md' END AS name, p_size % 3 > 0 AS present, p_size % 3 > 1 AS parsed,
+ CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN p_brand ELSE '7' END AS said FROM part)"""
+
+
+@query(f"""SELECT * FROM (SELECT p_partkey, CASE WHEN name = 'doc.md' AND NOT present THEN 'absent' WHEN name = 'doc.md' AND NOT parsed THEN 'unparseable' WHEN name = 'doc.md' AND said IS NULL THEN 'no type'
+ WHEN name = 'doc.md' AND said = '7' THEN 'type is a number' WHEN name = 'doc.md' AND trim(said) = '' THEN 'type is empty' WHEN name = 'index.md' AND present THEN 'front matter in an index below the root' END AS reason FROM {_BUNDLE}) WHERE reason IS NOT NULL""")
+def conformance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, z = F.col("p_partkey") % 5, F.col("p_size") % 4
+    name = F.when(k == 0, "index.md").when(k == 1, "log.md").otherwise("doc.md")
+    extra = F.when(z == 0, "{}").when(z == 1, '{"type": " "}').when(z == 2, F.concat(F.lit('{"type": "'), "p_brand", F.lit('"}'))).otherwise('{"type": 7}')
+    fm = F.struct(*[F.lit("").alias(c) for c in ("title", "description", "name", "parent", "status", "date")], *[F.array().cast("array<string>").alias(c) for c in ("tags", "aliases", "related")])
+    docs = part.select(F.concat(F.col("p_partkey").cast("string"), F.lit("/"), name).alias("doc_id"), fm.alias("fm"), extra.alias("extra"), (F.col("p_size") % 3 > 0).alias("fm_present"), (F.col("p_size") % 3 > 1).alias("fm_parsed"))
+    sections = spark.createDataFrame([], "doc_id string, level int, text string, start_line int")
+    return V.violations(docs, sections).select(F.split("doc_id", "/")[0].cast("long").alias("p_partkey"), "reason")
+
+
+@query("SELECT c_custkey, printf('%.6f', c_acctbal) AS amount, CASE WHEN c_mktsegment = '' THEN '(root)' ELSE c_mktsegment END AS category FROM customer")
+def fixed_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", T.fixed6(F.col("c_acctbal")).alias("amount"), T.category(F.col("c_mktsegment")).alias("category"))
+
+
+@query("SELECT o_orderkey, regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS is_date FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE strftime(o_orderdate, '%Y-%m-%d') END AS s FROM orders)")
+def date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", T.is_date_shape(text).alias("is_date"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT doc_id FROM {_PAGE}) SELECT doc_id FROM p WHERE regexp_matches(doc_id, '/1[0-9]*[.]md$') OR regexp_matches(doc_id, '^[^/]*/en/2.[.]md$')""")
+def root_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("doc_id").distinct().where(P.matches_any(F.col("doc_id"), ["*/*/1.md", "*/*/1[0-9].md", "*/*/1[0-9][0-9].md", "*/en/2?.md"]))
+
+
+@query(f"""WITH RECURSIVE {SUP}, {ROOT}, {WALK}, {HOPS}, {DEG},
+f AS (SELECT 'orphan' AS kind, id FROM deg WHERE in_degree = 0 AND out_degree = 0 UNION ALL SELECT 'unreachable', id FROM deg WHERE id NOT IN (SELECT id FROM h) AND in_degree + out_degree > 0
+ UNION ALL SELECT 'dead-end', id FROM deg WHERE out_degree = 0 AND in_degree > 0 AND id NOT IN (SELECT id FROM root) UNION ALL SELECT 'far-from-root', id FROM h WHERE hops >= 6)
+SELECT kind || ':' || CAST(id AS VARCHAR) AS finding, CASE WHEN kind IN ('orphan', 'unreachable') THEN 'warning' ELSE 'info' END AS severity FROM f""")
+def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    roots = D.roots(spark, sf_dir)
+    dist = B.hops(proj, roots)
+    deg = G.degrees(nodes, proj)
+    parts = {
+        "orphan": deg.where("in_degree = 0 AND out_degree = 0"), "dead-end": deg.where("out_degree = 0 AND in_degree > 0").join(roots, "id", "left_anti"),
+        "unreachable": deg.where("in_degree + out_degree > 0").join(dist, "id", "left_anti"), "far-from-root": B.far_from_root(dist, roots),
+    }
+    out = None
+    for kind, df in parts.items():
+        rows = df.select(F.concat_ws(":", F.lit(kind), F.col("id").cast("string")).alias("finding"), F.lit("warning" if kind in ("orphan", "unreachable") else "info").alias("severity"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
