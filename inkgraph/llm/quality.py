@@ -16,6 +16,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +109,8 @@ def plan_cascade(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] =
 
     The sample is the first rows that a limit finds, so only as many files are read as it takes.
     """
-    sample = df.sparkSession.createDataFrame(df.select(pick(df, text_col).alias("text")).limit(sample_rows).toArrow())
+    rows = df.select(pick(df, text_col).alias("text")).limit(sample_rows).collect()
+    sample = df.sparkSession.createDataFrame(pa.table({"text": pa.array([r["text"] for r in rows], pa.string())}))
     get, measured = from_text(F.col("text")), []
     for warm in (True, False):
         for rule in rules:
