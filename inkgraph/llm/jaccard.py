@@ -377,21 +377,30 @@ class _Join:
         shared = wide.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("k"))
         return self.scratch.write(shared.where(100 * F.col("k") >= self.percent * (F.col("n") - F.col("k"))).select("a", "b"), f"links-{name}")
 
-    def across(self, groups: DataFrame, label: DataFrame, forest: bool, name: str) -> DataFrame:
+    def across(self, groups: DataFrame, label: DataFrame, forest: bool, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
         """Pairs (a, b) of one signature and different components that the sketches let pass,
-        or a spanning forest of them; and a row (a, null) for each class with such a pair."""
-        named = groups.select("sig", "digest").join(label.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        or a spanning forest of them; and a row (a, null) for each class with such a pair.
+
+        ``extra``: a column of ``groups`` to deal rows out by, in place of their group, so that
+        pairs which meet in several groups are known to one task.
+        """
+        named = groups.select("sig", "digest", "n", *extra).join(label.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
         named = self.scratch.write(named, f"named-{name}")
         mixed = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        open_ = self.scratch.write(named.join(mixed, "sig").withColumn("mine", F.pmod(F.xxhash64("digest"), "blocks").cast("int")), f"open-{name}")
+        # a row without a neighbour of a fitting size in its group meets nobody
+        by_size = Window.partitionBy("sig").orderBy("n")
+        fits = (100 * F.lag("n").over(by_size) >= self.percent * F.col("n")) | (100 * F.col("n") >= self.percent * F.lead("n").over(by_size))
+        open_ = named.join(mixed, "sig").withColumn("fits", fits).where("fits").drop("fits")
+        open_ = self.scratch.write(open_.withColumn("mine", F.pmod(F.xxhash64("digest"), "blocks").cast("int")), f"open-{name}")
         self.scratch.drop(f"named-{name}")
         known = self.scratch.write(self.classes_of(open_.select("digest").distinct()), f"classes-{name}")
         # block pair (i, j), i <= j, gets the rows of both blocks
         others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
-        spread = open_.withColumn("at", F.explode(others)).select("sig", "at.i", "at.j", "mine", "digest", "component").join(known, "digest")
-        spread = spread.select("sig", "i", "j", "mine", "digest", "component", "n", "sketch")
+        spread = open_.withColumn("at", F.explode(others)).select("sig", "at.i", "at.j", "mine", "digest", "component", *extra).join(known, "digest")
+        spread = spread.select("sig", "i", "j", "mine", "digest", "component", "n", "sketch", *extra)
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        met = spread.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "digest").mapInArrow(_meet(self.percent, forest), "a binary, b binary")
+        dealt = spread.repartition(parts, *(extra or ("sig", "i", "j"))).drop(*extra)
+        met = dealt.sortWithinPartitions("sig", "i", "j", "digest").mapInArrow(_meet(self.percent, forest), "a binary, b binary")
         found = self.scratch.write(met.distinct(), f"across-{name}")
         for table in ("open", "classes"):
             self.scratch.drop(f"{table}-{name}")
@@ -400,7 +409,7 @@ class _Join:
     def components(self) -> DataFrame:
         """(digest, component) of every class with a link."""
         groups, pairs = self.candidates()
-        groups = groups.select("sig", "digest")
+        groups = groups.select("sig", "digest", "n")
         pairs = self.scratch.write(self.pruned(pairs, "0"), "pairs-0")
         met = self.across(groups, component_of(pairs, "a", "b"), True, "1")
         # a class of any pair to come is in a pair so far, or has one that passes here
@@ -409,7 +418,11 @@ class _Join:
         tried = self.scratch.write(pairs.unionByName(met.where("b IS NOT NULL")).distinct(), "pairs-1")
         links = self.links(tried, sets, "1")
         label = self.scratch.write(component_of(links, "a", "b"), "label")
-        more = self.across(groups.join(alive, "digest", "left_semi"), label, False, "2").where("b IS NOT NULL").join(tried, ["a", "b"], "left_anti")
+        # all pairs to come lie inside the components of the unverified pairs
+        near = component_of(tried, "a", "b").select(F.col("id").alias("digest"), F.xxhash64("component").alias("near"))
+        left = self.scratch.write(groups.join(near, "digest"), "left")
+        self.scratch.drop("met")
+        more = self.across(left, label, False, "2", ("near",)).where("b IS NOT NULL").join(tried, ["a", "b"], "left_anti")
         more = self.scratch.write(more, "pairs-2")
         return label if more.isEmpty() else component_of(links.unionByName(self.links(more, sets, "2")), "a", "b")
 
