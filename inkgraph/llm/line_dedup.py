@@ -1,24 +1,33 @@
 """Line dedup over content-defined chunks of lines, in DataFrame functions only.
 
-1. Each line is hashed; a cyclic-polynomial rolling hash over ``WINDOW`` line hashes ends a
-   chunk where its remainder by ``DIVISOR`` is 0.  Boundaries depend on those lines alone, so
-   text that was moved is cut in the same places.
+``passage_dedup`` finds every repeated passage:
+
+1. A passage starts and ends with a worded line and counts when it has ``MIN_LINES`` worded
+   lines and ``MIN_CHARS`` characters.  Each worded line starts one chunk and ends one: the
+   shortest passage forward from it, and backward.  A chunk depends on its own lines alone,
+   and a passage of any length is exactly the union of the chunks within it.
 2. Chunk hashes are counted over the whole table.  Only texts of chunks whose hash occurs
    twice or more are moved (a bitmap of bounded size, then the exact join), and grouped by
-   their bytes: that is the byte comparison.  The occurrence with the smallest (id, place)
-   stays; all others go.
-3. Documents that lose a chunk are put together again from their other chunks; the rest
-   stays where it is read.
+   their bytes: that is the byte comparison.  The occurrence with the smallest (id, row,
+   place) stays, and so does one in the same row that overlaps it; the lines of all others
+   go.  So the lines that go are those of the maximal repeated runs, and the first occurrence
+   of a line never goes.
+3. Documents that lose lines are put together again from their other lines; the rest stays
+   where it is read.
 
-A chunk counts when it has two lines with a word or more, and ``MIN_CHARS`` characters.
+``line_dedup`` does the same over chunks that do not overlap: a cyclic-polynomial rolling hash
+over ``WINDOW`` line hashes ends one where its remainder by ``DIVISOR`` is 0.  It moves less
+and leaves what does not fill a chunk.
 
 Defined cases: a null text is empty; rows are told apart by id and text, so repeated rows
-lose the same chunks; of chunks that repeat in one document the first stays; an empty
-table gives an empty result; a document all of whose chunks are repeats becomes empty.
+lose the same lines; of passages that repeat in one document the first stays; an empty
+table gives an empty result; a document all of whose lines are repeats becomes empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,26 +98,82 @@ def _flagged(rows: DataFrame, bits: DataFrame, value: str) -> DataFrame:
     return joined.withColumn("_maybe", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("_bucket", "_bits")
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """One row for each input row: id, cleaned ``text``, ``n_lines``, ``n_removed_lines``, ``n_removed_chars``."""
-    scratch = Scratch(df.sparkSession, "line-dedup")
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, row): ``row`` tells rows apart by id and text."""
     text = F.coalesce(pick(df, text_col), F.lit(""))
-    rows = df.select(pick(df, id_col).alias("id"), text.alias("text"), F.unhex(F.md5(F.concat_ws("\x00", pick(df, id_col).cast("string"), text))).alias("row"))
-    chunked = rows.select("id", "row", let(F.split("text", "\n"), lambda ls: F.transform(chunk_keys(ls, window, divisor), lambda key: let(chunk_lines(ls, key), lambda c: F.struct(key.alias("key"), F.when(_counts(c), F.array_join(c, "\n")).alias("text"))))).alias("cs"))
+    return df.select(pick(df, id_col).alias("id"), text.alias("text"), F.unhex(F.md5(F.concat_ws("\x00", pick(df, id_col).cast("string"), text))).alias("row"))
+
+
+def _shared(scratch: Scratch, chunked: DataFrame) -> DataFrame:
+    """(id, row, key, text, hash) of the chunks in ``cs`` whose hash occurs twice or more; chunks without text do not count."""
     every = chunked.select("id", "row", F.explode(F.filter("cs", lambda c: c["text"].isNotNull())).alias("c")).select("id", "row", "c.key", "c.text", F.xxhash64("c.text").alias("hash"))
     repeated = scratch.write(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     maybe = _flagged(every, _bits(repeated, "hash"), "hash").where("_maybe").drop("_maybe")
-    shared = scratch.write(maybe.join(repeated, "hash", "left_semi"), "shared")
-    first = shared.groupBy("hash", "text").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "text", "first")
-    gone = shared.join(first, ["hash", "text"]).where(~F.struct("id", "key").eqNullSafe(F.col("first")))
+    return scratch.write(maybe.join(repeated, "hash", "left_semi"), "shared")
+
+
+def _without(scratch: Scratch, rows: DataFrame, gone: DataFrame, rest: Callable[[Column, Column], Column], id_col: str) -> DataFrame:
+    """The rows without the chunks ``key`` of ``gone``; ``rest`` gives a row's other lines from its lines and those keys."""
     gone = scratch.write(gone.groupBy("row").agg(F.collect_set("key").alias("gone")), "gone")
     wide = _flagged(rows, _bits(gone, "row"), "row")
     n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     calm = wide.where("NOT _maybe").select("id", "text", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed_lines"), F.lit(0).cast("long").alias("n_removed_chars"))
     joined = wide.where("_maybe").join(gone, "row", "left").select("id", "text", n_lines.alias("n_lines"), F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"))
-    cleaned = joined.select(
-        "id", "n_lines", F.length("text").alias("was"),
-        let(F.split("text", "\n"), lambda ls: let(F.array_except(chunk_keys(ls, window, divisor), F.col("gone")), lambda ks: F.flatten(F.transform(ks, lambda k: chunk_lines(ls, k))))).alias("kept"),
-    )
+    cleaned = joined.select("id", "n_lines", F.length("text").alias("was"), let(F.split("text", "\n"), lambda ls: rest(ls, F.col("gone"))).alias("kept"))
     cleaned = cleaned.select("id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed_lines"), (F.col("was") - F.length(F.array_join("kept", "\n"))).cast("long").alias("n_removed_chars"))
     return calm.unionByName(cleaned).withColumnRenamed("id", id_col)
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """One row for each input row: id, cleaned ``text``, ``n_lines``, ``n_removed_lines``, ``n_removed_chars``."""
+    scratch, rows = Scratch(df.sparkSession, "line-dedup"), _numbered(df, id_col, text_col)
+    chunked = rows.select("id", "row", let(F.split("text", "\n"), lambda ls: F.transform(chunk_keys(ls, window, divisor), lambda key: let(chunk_lines(ls, key), lambda c: F.struct(key.alias("key"), F.when(_counts(c), F.array_join(c, "\n")).alias("text"))))).alias("cs"))
+    shared = _shared(scratch, chunked)
+    first = shared.groupBy("hash", "text").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "text", "first")
+    gone = shared.join(first, ["hash", "text"]).where(~F.struct("id", "key").eqNullSafe(F.col("first")))
+    return _without(scratch, rows, gone, lambda ls, keys: let(F.array_except(chunk_keys(ls, window, divisor), keys), lambda ks: F.flatten(F.transform(ks, lambda k: chunk_lines(ls, k)))), id_col)
+
+
+def _start(key: Column) -> Column:
+    return F.shiftright(key, _SHIFT).cast("int")
+
+
+def _end(key: Column) -> Column:
+    return (key - F.shiftright(key, _SHIFT) * (1 << _SHIFT)).cast("int")
+
+
+def passage_keys(lines: Column) -> Column:
+    """Shortest passages of a line array that start or end at each worded line, as start * 2**31 + end (line numbers, end excluded)."""
+    # this many worded lines have MIN_CHARS characters even if each has one
+    most = max(MIN_LINES, MIN_CHARS // 2 + 1)
+
+    def key(start: Column, end: Column) -> Column:
+        long_ = F.length(F.array_join(F.slice(lines, start + 1, end - start + 1), "\n")) >= MIN_CHARS
+        return F.when(long_, start.cast("long") * (1 << _SHIFT) + end + 1)
+
+    def nearest(at: Callable[[int | Column], Column]) -> Column:
+        wider = F.transform(F.sequence(F.lit(MIN_LINES), F.lit(most)), lambda k: at(k))
+        return F.coalesce(at(MIN_LINES - 1), F.get(F.filter(wider, lambda x: x.isNotNull()), F.lit(0)))
+
+    def both(ws: Column) -> Column:
+        forward = F.transform(ws, lambda w, i: nearest(lambda k: key(w, F.get(ws, i + k))))
+        backward = F.transform(ws, lambda w, i: nearest(lambda k: key(F.get(ws, i - k), w)))
+        return F.array_distinct(F.filter(F.concat(forward, backward), lambda x: x.isNotNull()))
+
+    return let(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"[^{SPACE}]"), i)), lambda i: i.isNotNull()), both)
+
+
+def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: id, cleaned ``text``, ``n_lines``, ``n_removed_lines``, ``n_removed_chars``."""
+    scratch, rows = Scratch(df.sparkSession, "passage-dedup"), _numbered(df, id_col, text_col)
+    chunked = rows.select("id", "row", let(F.split("text", "\n"), lambda ls: F.transform(passage_keys(ls), lambda key: F.struct(key.alias("key"), F.array_join(chunk_lines(ls, key), "\n").alias("text")))).alias("cs"))
+    shared = _shared(scratch, chunked)
+    first = shared.groupBy("hash", "text").agg(F.min(F.struct("id", "row", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "text", "first")
+    stays = F.struct("id", "row").eqNullSafe(F.struct("first.id", "first.row")) & (_start(F.col("key")) < _end(F.col("first.key")))
+    gone = shared.join(first, ["hash", "text"]).where(~stays)
+
+    def rest(lines: Column, keys: Column) -> Column:
+        out = F.flatten(F.transform(keys, lambda k: F.sequence(_start(k), _end(k) - 1)))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out), lambda i: F.get(lines, i))
+
+    return _without(scratch, rows, gone, rest, id_col)

@@ -39,7 +39,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup.passage_dedup(table(spark, sf_dir, "documents"))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
