@@ -9,9 +9,15 @@
 3. Every remaining element gets its characters, tags, link characters and link tags, and
    from these its composite density: characters per tag, adjusted by the share of links
    against the body's.  An element's density sum is the sum over its children.
-4. The element with the largest density sum is the core.  The least density on its path up
-   to the body is the threshold: the result is its highest ancestor below the body that
-   reaches the threshold, but an article or main element that holds the core ends the climb.
+4. The element with the largest density sum is the core.  The result starts at the article,
+   main or named content element around it, else at the core.  On the way up to the body,
+   or to a main element, each ancestor adds those of its parts off the path that reach a
+   threshold: a share of the core's density; for parts that hold an article or named
+   content the least density on the core's path, if that is less.  Parts of ``PROSE``
+   characters in paragraphs and few links reach it too, and headings before a kept part stay.
+   Text of the ancestor itself and its inline elements are one part.  A core that holds
+   sections, not paragraphs, loses its lists of links (``LINKS`` or more, most of the
+   characters) below the least of these thresholds.
 5. Its text is cut at block elements; white space becomes one space, blocks are trimmed and
    joined by a line feed.
 
@@ -50,6 +56,20 @@ DROP_WORDS = frozenset(
     "complementary contentinfo banner-ad dialog".split()
 )
 KEEP_WORDS = frozenset("article content main post entry story body text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Of the core's density, what other parts must reach; characters in paragraphs that are text anyway.
+SHARE = 0.2
+PROSE = 80
+#: Links of a part that can be a list of links.
+LINKS = 3
+
+
+def _labelled(tag: str, attributes: str) -> bool:
+    """An article or main element, or one whose class, id or role names content."""
+    if tag in ("article", "main"):
+        return True
+    named = (x for name, value in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role") for x in re.split(r"[^a-z0-9]+", value.lower()))
+    return tag not in ("html", "body") and not KEEP_WORDS.isdisjoint(named)
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -68,8 +88,8 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def _tree(page: str):
-    """Parallel lists over elements in document order: tag, parent; and the text runs as (element, text)."""
-    tags, parents, dropped, runs = ["#page"], [-1], [False], []
+    """Parallel lists over elements in document order: tag, parent, dropped, labelled; and the text runs as (element, text)."""
+    tags, parents, dropped, labelled, runs = ["#page"], [-1], [False], [False], []
     stack, at, n_articles = [0], 0, 0
 
     def close_to(depth: int) -> None:
@@ -112,6 +132,7 @@ def _tree(page: str):
             tags.append(tag)
             parents.append(stack[-1])
             dropped.append(dropped[stack[-1]] or tag in RAW or _unwanted(tag, token[3] or "", n_articles > 0))
+            labelled.append(not dropped[me] and _labelled(tag, token[3] or ""))
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 at = size if end is None else end.start()
@@ -132,26 +153,37 @@ def _tree(page: str):
         if end > at:
             runs.append((stack[-1], page[at:end]))
             at = end
-    return tags, parents, dropped, runs
+    return tags, parents, dropped, labelled, runs
+
+
+def _composite(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite density of characters, tags, link characters, link tags; the body's share of links."""
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1) + 1) / math.log(base + math.e - 1)
 
 
 def _densities(tags, parents, dropped, runs):
     n = len(tags)
     chars, n_tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    linked = [False] * n
+    linked, in_p, own, prose = [False] * n, [False] * n, [0] * n, [0] * n
     for i in range(1, n):
         linked[i] = linked[parents[i]] or tags[i] == "a"
+        in_p[i] = in_p[parents[i]] or tags[i] == "p"
     for i, text in runs:
         if not dropped[i]:
             size = len("".join(text.split()))
             chars[i] += size
+            own[i] += size
             if linked[i]:
                 link_chars[i] += size
+            elif in_p[i]:
+                prose[i] += size
     for i in range(n - 1, 0, -1):
         if not dropped[i]:
             p = parents[i]
             chars[p] += chars[i]
             link_chars[p] += link_chars[i]
+            prose[p] += prose[i]
             n_tags[p] += n_tags[i] + 1
             link_tags[p] += link_tags[i] + (tags[i] == "a")
     body = next((i for i, t in enumerate(tags) if t == "body"), 0)
@@ -160,20 +192,58 @@ def _densities(tags, parents, dropped, runs):
     for i in range(n):
         if dropped[i] or not chars[i]:
             continue
-        c, t, lc, lt = chars[i], max(n_tags[i], 1), link_chars[i], link_tags[i]
-        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-        density[i] = c / t * math.log(c / max(lc, 1) * t / max(lt, 1) + 1) / math.log(base + math.e - 1)
+        density[i] = _composite(chars[i], n_tags[i], link_chars[i], link_tags[i], share)
     for i in range(1, n):
         total[parents[i]] += density[i]
-    return density, total, body
+    return density, total, body, share, (chars, n_tags, link_chars, link_tags, own, prose)
+
+
+def _picked(tags, parents, dropped, labelled, path, top, density, share, counts) -> tuple[set[int], set[int]]:
+    """The elements that are kept whole, and those whose own text is kept: ``top`` and what its ancestors add."""
+    chars, n_tags, link_chars, link_tags, own, prose = counts
+    n = len(tags)
+    blocks, holds, children = [x in BLOCK for x in tags], list(labelled), {i: [] for i in path}
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        if not dropped[i]:
+            blocks[p], holds[p] = blocks[p] or blocks[i], holds[p] or holds[i]
+            if p in children and chars[i]:
+                children[p].append(i)
+    bar = SHARE * density[path[0]]
+    low = min(bar, min(density[i] for i in path))
+    whole, text = {top}, set()
+    parts = children[top]
+    if not labelled[top] and not own[top] and parts and all(blocks[i] and tags[i] != "p" for i in parts):
+        lists = {i for i in parts if tags[i] not in HEADINGS and density[i] < low and link_tags[i] >= LINKS and 2 * link_chars[i] > chars[i]}
+        whole = set(parts) - lists if lists else whole
+    for at in path[path.index(top) : -1]:
+        if tags[at] == "main":
+            break
+        p, loose, before_kept = parents[at], [], False
+        for i in children[p]:  # the last comes first
+            if i == at:
+                before_kept = True
+            elif not blocks[i]:
+                loose.append(i)
+            elif tags[i] in HEADINGS and before_kept:
+                whole.add(i)
+            else:
+                before_kept = density[i] >= (low if holds[i] else bar) or prose[i] >= PROSE and 4 * link_chars[i] < chars[i]
+                if before_kept:
+                    whole.add(i)
+        c, lc, lt = (own[p] + sum(chars[i] for i in loose), sum(link_chars[i] for i in loose), sum(link_tags[i] + (tags[i] == "a") for i in loose))
+        if c and _composite(c, sum(n_tags[i] + 1 for i in loose), lc, lt, share) >= bar:
+            whole.update(loose)
+            text.add(p)
+    return whole, text
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    tags, parents, dropped, runs = _tree(page)
-    density, total, body = _densities(tags, parents, dropped, runs)
+    tags, parents, dropped, labelled, runs = _tree(page)
+    density, total, body, share, counts = _densities(tags, parents, dropped, runs)
     inside = [False] * len(tags)
     for i in range(len(tags)):
         inside[i] = i == body or i > 0 and inside[parents[i]]
@@ -187,20 +257,13 @@ def main_text(page: str | None) -> str:
         if at == body:
             break
         at = parents[at]
-    threshold = min(density[i] for i in path)
-    top = core
-    semantic = [i for i in path if tags[i] in ("article", "main")]
-    if semantic:
-        top = semantic[0]
-    else:
-        for i in path[:-1]:
-            if density[i] >= threshold:
-                top = i
+    top = next((i for i in path if labelled[i]), core)
+    whole, text_of = _picked(tags, parents, dropped, labelled, path, top, density, share, counts)
     chosen = [False] * len(tags)
     block = [0] * len(tags)
     for i in range(len(tags)):
         p = parents[i]
-        chosen[i] = i == top or p >= 0 and chosen[p] and not dropped[i]
+        chosen[i] = i in whole or p >= 0 and chosen[p] and not dropped[i]
         block[i] = i if tags[i] in BLOCK or p < 0 else block[p]
     # a block's text ends where another block begins or ends
     out: list[list[str]] = []
@@ -209,7 +272,7 @@ def main_text(page: str | None) -> str:
     for i, text in runs:
         begun = any(tags[k] in BLOCK for k in range(opened + 1, i + 1)) if i > opened else False
         opened = max(opened, i)
-        if not chosen[i]:
+        if not chosen[i] and i not in text_of:
             continue
         if block[i] != last or begun:
             out.append([])
