@@ -160,12 +160,23 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pagerank(*D.supplier_handoff(spark, sf_dir), tolerance=None, max_rounds=ROUNDS).select("id", _r6("score"))
 
 
+@query()
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's own end; SQL cannot be unrolled to it."""
+    return R.pagerank(*D.supplier_handoff(spark, sf_dir)).select("id", _r6("score"))
+
+
 @query(_pagerank_sql(ROUNDS).replace("SELECT id, round(s, 6) AS score FROM", "SELECT id, round(s, 6) AS score FROM (SELECT * FROM") + " ORDER BY s DESC, id LIMIT 5)")
 def top_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = R.pagerank(*D.supplier_handoff(spark, sf_dir), tolerance=None, max_rounds=ROUNDS)
     return G.top_n(scores, 5).select("id", _r6("score"))
 
 
+@query()
+def top_ranked_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.top_n(R.pagerank(*D.supplier_handoff(spark, sf_dir)), 5).select("id", _r6("score"))
+
+
 def _hits_sql(rounds: int) -> str:
     parts = [SUP, "h0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS h FROM n)"]
     for k in range(rounds):
@@ -181,6 +192,12 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hits(*D.supplier_handoff(spark, sf_dir), tolerance=None, max_rounds=ROUNDS).select("id", _r6("hub"), _r6("authority"))
 
 
+@query()
+def hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's own end; SQL cannot be unrolled to it."""
+    return R.hits(*D.supplier_handoff(spark, sf_dir)).select("id", _r6("hub"), _r6("authority"))
+
+
 @query(f"WITH RECURSIVE {SUP}, {DIST} SELECT x AS src, y AS dst, CAST(d AS BIGINT) AS hops FROM d")
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.distances(*D.supplier_handoff(spark, sf_dir))
@@ -435,6 +452,13 @@ def importance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.ranked_split(scores)
 
 
+@query()
+def importance_split_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, proj = D.supplier_handoff(spark, sf_dir)
+    scores = R.hits(nodes, proj).withColumn("authority", F.round("authority", 9)).join(G.degrees(nodes, proj), "id")
+    return G.ranked_split(scores)
+
+
 _BUNDLE = """(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'index.md' WHEN 1 THEN 'log.md' ELSE 'doc.md' END AS name, p_size % 3 > 0 AS present, p_size % 3 > 1 AS parsed,
  CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN p_brand ELSE '7' END AS said FROM part)"""
 
