@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .text import ascii_lower, let, pick
 
-REACH = 16
+#: The 20 words of the longest rule, and the next one, which some look at.
+REACH = 21
 
 # The base phrases and their labels.
 BASE: tuple[tuple[str, str], ...] = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
