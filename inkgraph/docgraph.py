@@ -94,10 +94,7 @@ class DocGraph:
     @cached_property
     def contains(self) -> DataFrame:
         """Document to section and section to subsection (B1); sections without a slug are passed through."""
-        own = self.sections.select("doc_id", "ord", "slug", "parent_ord")
-        up = own.select("doc_id", F.col("ord").alias("parent_ord"), F.col("slug").alias("up"))
-        joined = own.join(up, ["doc_id", "parent_ord"], "left")
-        return joined.select(F.when(F.coalesce("up", F.lit("")) == "", F.col("doc_id")).otherwise(F.concat("doc_id", F.lit("#"), "up")).alias("src"), F.concat("doc_id", F.lit("#"), "slug").alias("dst"))
+        return M.contains(self.documents)
 
     @cached_property
     def proj(self) -> DataFrame:
@@ -220,7 +217,7 @@ class DocGraph:
     @cached_property
     def scent(self) -> DataFrame:
         """Links of little scent (T9): source, target, line, anchor, score, suggestion."""
-        links = self.edges.where(F.col("type").isin(*NAVIGATIONAL)).where("line > 0").select(F.col("src_doc").alias("source"), F.col("dst_doc").alias("target"), "line", F.col("anchor_text").alias("anchor"), "dst").distinct()
+        links = self.edges.where(F.col("type").isin(*self.config.nav_types)).where("line > 0").select(F.col("src_doc").alias("source"), F.col("dst_doc").alias("target"), "line", F.col("anchor_text").alias("anchor"), "dst").distinct()
         titles = self.documents.select("doc_id", "title")
         heads = self.sections.where("text <> ''").select("doc_id", (F.col("ord") + 1).alias("ord"), "text", F.concat("doc_id", F.lit("#"), "slug").alias("node"))
         whole = titles.select(F.col("doc_id").alias("dst"), F.lit(0).alias("ord"), F.col("title").alias("text")).unionByName(heads.select(F.col("doc_id").alias("dst"), "ord", "text"))

@@ -157,3 +157,18 @@ def is_ignored(path: str, rules: list[tuple[re.Pattern, bool, bool]], is_dir: bo
         if verdict:
             return True
     return False
+
+
+def ignored(path: Column, lines: list[str]) -> Column:
+    """:func:`is_ignored` of a file's path as a column expression."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), (k < F.size(parts)).alias("folder")))
+
+    def verdict(x: Column) -> Column:
+        out = F.lit(False)
+        for pattern, keep, folders_only in ignore_rules(lines):
+            hit = x["path"].rlike("^(?:" + pattern.pattern.removesuffix(r"\Z") + r")\z")
+            out = F.when(hit & x["folder"] if folders_only else hit, F.lit(not keep)).otherwise(out)
+        return out
+
+    return F.coalesce(F.exists(above, verdict), F.lit(False))

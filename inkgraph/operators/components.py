@@ -109,11 +109,12 @@ def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[v])
                 if low[v] == order[v]:
-                    cut = len(waiting) - 1 - waiting[::-1].index(v)
-                    least = min(waiting[cut:])
-                    for w in waiting[cut:]:
+                    mine = [waiting.pop()]
+                    while mine[-1] != v:
+                        mine.append(waiting.pop())
+                    least = min(mine)
+                    for w in mine:
                         owner[w] = least
-                    del waiting[cut:]
     return pd.DataFrame({"id": ids, "component": [ids[k] for k in owner]})
 
 

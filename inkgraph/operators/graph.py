@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import Scratch
+
 
 def projection(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct document edges without loops."""
@@ -119,5 +121,15 @@ def document_view(nodes: DataFrame, *parts: DataFrame) -> DataFrame:
 
 def ranked_split(scores: DataFrame, n: int = 20) -> DataFrame:
     """(id, place, primary): documents by authority, in-degree, id; the first ``n`` are primary (K4, K5)."""
-    order = Window.orderBy(F.desc("authority"), F.desc("in_degree"), "id")
-    return scores.select("id", F.row_number().over(order).alias("place")).withColumn("primary", F.col("place") <= n)
+    spark, order = scores.sparkSession, [F.desc("authority"), F.desc("in_degree"), F.col("id")]
+    # ranges of the order, written so that they stay as they are; places are counted inside each
+    ranged = scores.select("id", "authority", "in_degree").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranged = Scratch(spark, "ranked").write(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    before, total = [], 0
+    for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("k")).orderBy("_range").collect():  # a row for each range
+        before.append((r["_range"], total))
+        total += r["k"]
+    starts = spark.createDataFrame(before, "_range int, _before long")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = ranged.join(F.broadcast(starts), "_range").select("id", place.cast("int").alias("place"))
+    return placed.withColumn("primary", F.col("place") <= n)

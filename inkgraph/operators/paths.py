@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Scratch
+from ..plans.lineage import Grown, Scratch
 from .graph import closure
 
 SHARED_EDGES = 20_000_000
@@ -80,13 +80,14 @@ def _levels(nodes: DataFrame, proj: DataFrame) -> DataFrame:
     scratch = Scratch(nodes.sparkSession, "levels")
     step = proj.select(F.col("src").alias("via"), "dst")
     level = scratch.write(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("hops")).distinct(), "0")
-    seen, k = level, 0
+    seen, k = Grown(scratch, "seen"), 0
+    seen.add(level)
     while not level.isEmpty():
         k += 1
         found = level.select("src", F.col("dst").alias("via")).join(step, "via").select("src", "dst").distinct()
-        level = scratch.write(found.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(k).cast("long")), str(k))
-        seen = seen.unionByName(level)
-    return seen
+        level = scratch.write(found.join(seen.table(), ["src", "dst"], "left_anti").withColumn("hops", F.lit(k).cast("long")), str(k))
+        seen.add(level)
+    return seen.table()
 
 
 def betweenness(nodes: DataFrame, proj: DataFrame) -> DataFrame:
@@ -135,21 +136,23 @@ def _dependencies(nodes: DataFrame, proj: DataFrame) -> DataFrame:
     scratch = Scratch(nodes.sparkSession, "dependencies")
     hop = proj.select(F.col("src").alias("via"), "dst")
     level = scratch.write(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("paths")).distinct(), "0")
-    seen, levels = level.select("src", "dst"), [level]
+    seen, levels = Grown(scratch, "seen"), [level]
+    seen.add(level.select("src", "dst"))
     while True:
-        step = level.select("src", F.col("dst").alias("via"), "paths").join(hop, "via").groupBy("src", "dst").agg(F.sum("paths").alias("paths")).join(seen, ["src", "dst"], "left_anti")
+        step = level.select("src", F.col("dst").alias("via"), "paths").join(hop, "via").groupBy("src", "dst").agg(F.sum("paths").alias("paths")).join(seen.table(), ["src", "dst"], "left_anti")
         level = scratch.write(step, str(len(levels)))
         if level.isEmpty():
             break
-        seen = seen.unionByName(level.select("src", "dst"))
+        seen.add(level.select("src", "dst"))
         levels.append(level)
     below = levels[-1].withColumn("share", F.lit(0.0))
-    out = nodes.select("id", F.lit(0.0).alias("x")).limit(0)
+    out = Grown(scratch, "out")
+    out.add(nodes.select("id", F.lit(0.0).alias("x")).limit(0))
     for k in range(len(levels) - 2, 0, -1):
         up = below.select("src", "dst", ((1 + F.col("share")) / F.col("paths")).alias("y")).join(hop, "dst").groupBy("src", F.col("via").alias("dst")).agg(F.sum("y").alias("y"))
         below = scratch.write(levels[k].join(up, ["src", "dst"], "left").select("src", "dst", "paths", (F.col("paths") * F.coalesce("y", F.lit(0.0))).alias("share")), f"up{k}")
-        out = out.unionByName(below.select(F.col("dst").alias("id"), F.col("share").alias("x")))
-    return out
+        out.add(below.select(F.col("dst").alias("id"), F.col("share").alias("x")))
+    return out.table()
 
 
 def compactness(nodes: DataFrame, proj: DataFrame) -> DataFrame:

@@ -15,7 +15,13 @@ from ..plans.lineage import Scratch
 
 
 def exact_sum(x: Column) -> Column:
-    return F.coalesce(F.sum(x.cast("decimal(28,18)")).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(x.cast("decimal(38,18)")).cast("double"), F.lit(0.0))
+
+
+def _length(rows: DataFrame, name: str, scale: float = 1.0) -> float:
+    """The Euclidean length of a column, 1 for a zero vector; squares are of shares of ``scale``."""
+    share = F.col(name) / scale
+    return math.sqrt(rows.agg(exact_sum(share * share)).first()[0]) * scale or 1.0
 
 
 def pagerank(nodes: DataFrame, proj: DataFrame, damping: float = 0.85, tolerance: float | None = 1e-6, max_rounds: int = 100) -> DataFrame:
@@ -49,11 +55,12 @@ def hits(nodes: DataFrame, proj: DataFrame, tolerance: float | None = 1e-8, max_
     for k in range(1, max_rounds + 1):
         auth = edges.join(now.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(exact_sum(F.col("hub")).alias("a"))
         auth = scratch.write(auth, f"a{k}")
-        size = math.sqrt(auth.agg(exact_sum(F.col("a") * F.col("a"))).first()[0]) or 1.0
+        # hubs of length 1 bound later sums; the first are counts of links, of any size
+        size = _length(auth, "a", (auth.agg(F.max("a")).first()[0] or 1.0) if k == 1 else 1.0)
         auth = auth.select("id", (F.col("a") / size).alias("a"))
         hub = edges.join(auth.select(F.col("id").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("id")).agg(exact_sum(F.col("a")).alias("h"))
         raw = scratch.write(now.join(auth, "id", "left").join(hub, "id", "left").select("id", F.col("hub").alias("hub0"), F.col("authority").alias("authority0"), F.coalesce("a", F.lit(0.0)).alias("authority"), F.coalesce("h", F.lit(0.0)).alias("h")), f"h{k}")
-        long_ = math.sqrt(raw.agg(exact_sum(F.col("h") * F.col("h"))).first()[0]) or 1.0
+        long_ = _length(raw, "h")
         step = raw.select("id", "hub0", "authority0", "authority", (F.col("h") / long_).alias("hub"))
         d_auth, d_hub = step.agg(exact_sum(F.pow(F.col("authority") - F.col("authority0"), 2.0)), exact_sum(F.pow(F.col("hub") - F.col("hub0"), 2.0))).first()
         scratch.drop(f"a{k}")

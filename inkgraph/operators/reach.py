@@ -1,7 +1,8 @@
 """Breadth-first operators: hops from roots, reachability, shortest paths.
 
 A round joins the frontier with the edges and keeps what was not seen; each round's result
-is written to the shared folder, so the plan of a round never grows.
+is written to the shared folder.  What was seen is read from few tables (:class:`Grown`), so the
+plan of a round hardly grows.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Scratch
+from ..plans.lineage import Grown, Scratch
 
 
 def hops(proj: DataFrame, roots: DataFrame, nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
@@ -18,20 +19,21 @@ def hops(proj: DataFrame, roots: DataFrame, nodes: DataFrame | None = None, max_
     One level a round; the rows of all levels so far are read by the anti-join alone.
     """
     scratch = Scratch(proj.sparkSession, "hops")
-    edges = proj.select(F.col("src").alias("id"), "dst")
+    edges = scratch.write(proj.select(F.col("src").alias("id"), "dst"), "edges")
     start = roots.select("id").distinct()
     if nodes is not None:
         start = start.join(nodes.select("id"), "id", "left_semi")
-    level = scratch.write(start.withColumn("hops", F.lit(0)), "0")
-    seen, k = level, 0
+    level, seen, k = scratch.write(start.withColumn("hops", F.lit(0)), "0"), Grown(scratch, "seen"), 0
+    seen.add(level)
     while max_rounds is None or k < max_rounds:
         k += 1
-        found = edges.join(level.select("id"), "id", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        found = edges.join(level.select("id"), "id", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen.table().select("id"), "id", "left_anti")
         level = scratch.write(found.withColumn("hops", F.lit(k)), str(k))
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
-    return seen
+        seen.add(level)
+    scratch.drop("edges")
+    return seen.table()
 
 
 def reachability(nodes: DataFrame, dist: DataFrame) -> DataFrame:
@@ -52,16 +54,17 @@ def shortest_path(proj: DataFrame, src, dst) -> list:
     """
     spark, kind = proj.sparkSession, proj.schema["src"].dataType.simpleString()
     scratch = Scratch(spark, "path")
-    edges = proj.select(F.col("src").alias("id"), "dst")
+    edges = scratch.write(proj.select(F.col("src").alias("id"), "dst"), "edges")
     level = scratch.write(spark.range(1).select(F.lit(src).cast(kind).alias("id"), F.array(F.lit(src).cast(kind)).alias("path")), "0")
-    seen, k = level.select("id"), 0
+    seen, k = Grown(scratch, "seen"), 0
+    seen.add(level.select("id"))
     while True:
         hit = level.where(F.col("id") == F.lit(dst)).first()
         if hit is not None:
             return list(hit["path"])
         k += 1
         found = edges.join(level, "id").groupBy("dst").agg(F.min("path").alias("path")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        level = scratch.write(found.join(seen, "id", "left_anti"), str(k))
+        level = scratch.write(found.join(seen.table(), "id", "left_anti"), str(k))
         if level.isEmpty():
             return []
-        seen = seen.unionByName(level.select("id"))
+        seen.add(level.select("id"))

@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,31 @@ class Scratch:
         """Delete one table, or all of them, once nothing reads it any more."""
         path, files = self._at(table)
         files.delete(path, True)
+
+
+class Grown:
+    """A table that grows part by part and stays few tables: ``fan`` of one size are written as one of the next.
+
+    So it is read from at most ``fan`` tables for each power of ``fan`` among its parts, and a row
+    is written once for each.
+    """
+
+    def __init__(self, scratch: Scratch, name: str, fan: int = 8):
+        self.scratch, self.name, self.fan = scratch, name, fan
+        self.sizes: list[list[DataFrame]] = [[]]
+        self.written = 0
+
+    def add(self, part: DataFrame) -> None:
+        self.sizes[0].append(part)
+        for k in range(len(self.sizes)):
+            if len(self.sizes[k]) < self.fan:
+                return
+            self.written += 1
+            merged = self.scratch.write(reduce(DataFrame.unionByName, self.sizes[k]), f"{self.name}-{self.written}")
+            self.sizes[k] = []
+            if k + 1 == len(self.sizes):
+                self.sizes.append([])
+            self.sizes[k + 1].append(merged)
+
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [x for size in self.sizes for x in size])

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import Scratch
 
-def _handoff(spark: SparkSession, sf_dir: str, key: str, least: float) -> DataFrame:
+
+def _handoff(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """Edges between the keys of consecutive lines of an order."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    a = lines.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= least)).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col(key).alias("src"))
+    a = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col(key).alias("src"))
     b = lines.select("l_orderkey", "l_linenumber", F.col(key).alias("dst"))
-    return a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
+    # written once: operators read it round by round
+    return Scratch(spark, "handoff").write(a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct(), "edges")
 
 
 def supplier_handoff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id")), _handoff(spark, sf_dir, "l_suppkey", 50)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id")), _handoff(spark, sf_dir, "l_suppkey")
 
 
 def part_handoff(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id")), _handoff(spark, sf_dir, "l_partkey", 49)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id")), _handoff(spark, sf_dir, "l_partkey")
+
+
+def order_succession(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each order to the next one of its customer: many chains, one for each customer."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = orders.select(F.col("o_orderkey").alias("src"), after.alias("dst")).where("dst IS NOT NULL")
+    return orders.select(F.col("o_orderkey").alias("id")), Scratch(spark, "succession").write(edges, "edges")
 
 
 def user_succession(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -29,8 +40,6 @@ def user_succession(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     that has one, so no task sorts the whole stream.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour"))
-    from pyspark.sql import Window
-
     inside = events.withColumn("next", F.lead("user_id").over(Window.partitionBy("hour").orderBy("ts", "event_id")))
     first = events.groupBy("hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
     after = first.withColumn("after", F.lead("first").over(Window.orderBy("hour"))).select("hour", "after")

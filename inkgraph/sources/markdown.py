@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_FRONT_MATTER = 64 << 10
@@ -444,3 +444,25 @@ def aliases(docs: DataFrame) -> DataFrame:
     """(alias, doc_id), distinct."""
     every = F.array_compact(F.array_union("fm.aliases", F.array("fm.name")))
     return docs.select(F.explode(every).alias("alias"), "doc_id").where("alias <> ''").distinct()
+
+
+def contains(docs: DataFrame) -> DataFrame:
+    """(src, dst): each section with a slug under the nearest section above it that has one, else under its document (B1)."""
+    # one pass over a document's sections: for each its own slug or, without one, what holds it
+    def step(held: Column, s: Column) -> Column:
+        above = F.when(s["parent_ord"] >= 0, F.get(held, s["parent_ord"])["name"]).otherwise(F.lit(""))
+        return F.concat(held, F.array(F.struct(above.alias("up"), F.when(s["slug"] != "", s["slug"]).otherwise(above).alias("name"), s["slug"].alias("slug"))))
+
+    none = F.array().cast("array<struct<up:string,name:string,slug:string>>")
+    rows = docs.select("doc_id", F.explode(F.aggregate("sections", none, step)).alias("s")).where("s.slug <> ''")
+    return rows.select(F.when(F.col("s.up") == "", F.col("doc_id")).otherwise(F.concat("doc_id", F.lit("#"), "s.up")).alias("src"), F.concat("doc_id", F.lit("#"), "s.slug").alias("dst"))
+
+
+def duplicate_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, n) of the ids that more than one file gives."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def heading_count(docs: DataFrame) -> DataFrame:
+    """One row: ``headings``, the sections of all documents (I4)."""
+    return docs.agg(F.coalesce(F.sum(F.size("sections")), F.lit(0)).cast("long").alias("headings"))
