@@ -1,144 +1,70 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A text is a sequence of words (A-Z lower-cased; ASCII letters and digits and everything
-beyond ASCII).  Rules are regular expressions over words joined by one space; each starts
-with one of its gate words.  Where a gate word stands, and only there, the rules of that word
-are tried on the ``REACH`` words from there on; no rule is longer than that.  A text that
-holds none of the ``KEYWORDS``, one of which every rule and base phrase needs, is not even
-split into words.
+beyond ASCII).  The rules of :mod:`license_rules` are regular expressions over words joined by
+one space; each starts with one of its gate words.  Where a gate word stands, and only there,
+the rules of that word are tried on the words from there on: as many as the longest match of
+any rule has, which is computed from the rules, and one more to look at.  A text that holds
+none of the ``KEYWORDS``, one of which every rule and base phrase needs, is not even split
+into words.
 
 Overlaps: of the rules that match at one word, the one of highest priority, then the longest,
 then the first in the list counts.  A detection that lies inside another of the same or a
-higher priority is suppressed; as none is longer than ``REACH`` words, the ``REACH``
-detections before it are all that can contain it.
+higher priority is suppressed; only as many detections before it as the longest match has
+words can contain it.
 
 Base phrases are plain word sequences; all their places count and none is suppressed.
 
 Defined cases: a null text is empty; an empty text has no words, no labels and score 0;
-an empty table gives an empty result; repeated rows are alike; every step is local to its row.
+an empty table gives an empty result; repeated rows are alike; a very long text is scanned to
+its end, at a cost in proportion to its length; other columns are not read, whatever their
+names; every step is local to its row.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import KEYWORDS, longest, rules
 from .text import ascii_lower, let, pick
 
-#: The 20 words of the longest rule, and the next one, which some look at.
-REACH = 21
+#: The words that a rule is tried on: those of the longest match, and the next one, which some rules look at.
+REACH = longest() + 1
 
 # The base phrases and their labels.
 BASE: tuple[tuple[str, str], ...] = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-# License families - label, name as a regular expression over words, versions as written.
-FAMILIES: tuple[tuple[str, str, str], ...] = (
-    ("gpl", "gnu gpl", "1.0 2.0 3.0"), ("gpl", "gnu general public", "1.0 2.0 3.0"), ("gpl", "gpl", "1.0 2.0 3.0"),
-    ("lgpl", "gnu lgpl", "2.0 2.1 3.0"), ("lgpl", "gnu (?:lesser|library) general public", "2.0 2.1 3.0"), ("lgpl", "lgpl", "2.0 2.1 3.0"),
-    ("agpl", "gnu affero general public", "3.0"), ("agpl", "agpl", "3.0"), ("gfdl", "gnu free documentation", "1.1 1.2 1.3"),
-    ("apache", "apache(?: software)?", "1.0 1.1 2.0"), ("mpl", "mozilla public", "1.0 1.1 2.0"), ("mpl", "mpl", "1.0 1.1 2.0"),
-    ("epl", "eclipse public", "1.0 2.0"), ("epl", "epl", "1.0 2.0"), ("eupl", "european union public", "1.0 1.1 1.2"), ("eupl", "eupl", "1.0 1.1 1.2"),
-    ("cddl", "common development and distribution", "1.0 1.1"), ("cddl", "cddl", "1.0 1.1"), ("cpl", "common public", "1.0"), ("ms-pl", "microsoft public", "1.0"),
-    ("artistic", "artistic", "1.0 2.0"), ("bsl", "boost software", "1.0"), ("osl", "open software", "1.0 2.0 2.1 3.0"), ("afl", "academic free", "1.1 1.2 2.0 2.1 3.0"),
-    ("zpl", "zope public", "1.1 2.0 2.1"), ("python", "python software foundation", "2.0"), ("php", "php", "3.0 3.01"), ("lppl", "latex project public", "1.0 1.1 1.2 1.3"),
-    ("ofl", "sil open font", "1.0 1.1"), ("odbl", "open database", "1.0"), ("unlicense", "unlicense", ""), ("isc", "isc", ""), ("zlib", "zlib", ""), ("wtfpl", "wtfpl", ""), ("mit", "mit", ""), ("mit", "expat", ""),
-)
-#: Names that are no license without the word: their rules need it.
-WEAK = frozenset("artistic|boost software|open software|academic free|zope public|python software foundation|php|latex project public|sil open font|open database|isc|zlib|mit|expat|common public|microsoft public|european union public|eclipse public|mozilla public|common development and distribution|unlicense|wtfpl".split("|"))
-# Substrings of the joined words, one of which every rule and base phrase holds.
-KEYWORDS = ("licen", "gnu ", "gpl", "mpl", "epl", "eupl", "cddl", "apache", "bsd", "cc by", "cc 0", "cc0", "creative commons", "public domain", "rights reserved", "permission is hereby", "redistribution and use")
-CC_PARTS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
-CC_NAMES = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?"}
-CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-BSD_CLAUSES = (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four"))
-NOTICE = r"(?:licensed|released|distributed|published|available|covered|redistributed) (?:only )?(?:under|by) (?:the )?(?:terms of (?:the )?)?"
-NOTICE_WORDS = ("licensed", "released", "distributed", "published", "available", "covered", "redistributed")
-
-
-def _words(version: str) -> str:
-    return version.replace(".", " ")
-
-
-@lru_cache(maxsize=1)
-def rules() -> tuple[tuple[tuple[str, ...], str, str, int, float], ...]:
-    """(gate words, regular expression, label, priority, confidence), in order.
-
-    Priorities: 4 a grant that names a license and version, 3 a license with its version,
-    2 a grant without a version, 1 a mention.
-    """
-    out = []
-
-    def add(gates, pattern, label, priority, confidence):
-        out.append((tuple(gates), pattern, label, priority, confidence))
-
-    for label, name, versions in FAMILIES:
-        gate = name.split(" ")[0].split("(")[0]
-        licence = r"(?: public)? licen[cs]e" if name in WEAK else r"(?: public)?(?: licen[cs]e)?"
-        for version in versions.split():
-            spelled = rf"{name}{licence}(?: version| v)? ?(?:v)?{_words(version)}(?: or(?: any)? later(?: version)?| only)?"
-            tagged = f"{label}-{version}"
-            add(NOTICE_WORDS, NOTICE + spelled, tagged, 4, 1.0)
-            add([gate], spelled, tagged, 3, 0.9)
-            if version.endswith(".0"):
-                major = version.split(".")[0]
-                short = rf"{name}{licence}(?: version| v)? {major}(?! \d)"
-                add(NOTICE_WORDS, NOTICE + short, tagged, 4, 1.0)
-                add([gate], short, tagged, 3, 0.85)
-                if name == label and name not in WEAK:
-                    add([f"{gate}v{major}", f"{gate}{major}"], rf"{gate}v?{major}", tagged, 3, 0.85)
-        add(NOTICE_WORDS, NOTICE + name + r"(?: public)? licen[cs]e", label, 2, 0.8)
-        add([gate], name + r"(?: public)? licen[cs]e", label, 1, 0.6)
-    for parts in CC_PARTS:
-        keys = parts.split("-")
-        for version in CC_VERSIONS:
-            label = f"cc-{parts}-{version}"
-            short = " ".join(["cc", *keys, _words(version)])
-            long = " ".join(["creative commons", *(CC_NAMES[k] for k in keys)]) + rf"(?: \w+)?(?: public)?(?: licen[cs]e)? {_words(version)}"
-            add(NOTICE_WORDS, NOTICE + short, label, 4, 1.0)
-            add(["cc"], short, label, 3, 0.9)
-            add(NOTICE_WORDS, NOTICE + long, label, 4, 1.0)
-            add(["creative"], long, label, 3, 0.9)
-        add(["cc"], " ".join(["cc", *keys]), f"cc-{parts}", 1, 0.6)
-        add(["creative"], " ".join(["creative commons", *(CC_NAMES[k] for k in keys)]), f"cc-{parts}", 1, 0.6)
-    add(["cc0", "cc"], r"cc ?0(?: 1 0)?", "cc0-1.0", 3, 0.9)
-    for digit, word in BSD_CLAUSES:
-        label = f"bsd-{digit}-clause"
-        add(["bsd"], rf"bsd (?:{digit}|{word}) clause(?: licen[cs]e)?", label, 3, 0.9)
-        add([digit, word], rf"(?:{digit}|{word}) clause bsd(?: licen[cs]e)?", label, 3, 0.9)
-        add(NOTICE_WORDS, NOTICE + rf"(?:bsd (?:{digit}|{word}) clause|(?:{digit}|{word}) clause bsd)(?: licen[cs]e)?", label, 4, 1.0)
-    add(["bsd"], r"bsd(?: style)? licen[cs]e", "bsd", 1, 0.6)
-    add(["permission"], "permission is hereby granted free of charge to any person obtaining a copy", "mit", 4, 1.0)
-    add(["redistribution"], "redistribution and use in source and binary forms with or without modification", "bsd", 4, 0.9)
-    add(["public"], "public domain", "public-domain", 1, 0.4)
-    add(["all"], "all rights reserved", "all-rights-reserved", 1, 0.3)
-    for gates, pattern, *_ in out:
-        assert gates and pattern
-    return tuple(out)
-
 
 def normal(text: Column) -> Column:
     """The words of a text joined by one space."""
     return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
-def _gated() -> Column:
-    """Literal map: gate word -> its rules, in order."""
-    by: dict[str, list] = {}
+def _blocks() -> dict[tuple[str, ...], list]:
+    """The rules of each set of gate words, in order; a gate word is in one set."""
+    by: dict[tuple[str, ...], list] = {}
     for order, (gates, pattern, label, priority, confidence) in enumerate(rules()):
-        for g in gates:
-            by.setdefault(g, []).append((order, pattern, label, priority, confidence))
-    told = [F.struct(F.lit(f"^({p})(?= |$)").alias("pattern"), F.lit(l).alias("label"), F.lit(pr).alias("priority"), F.lit(c).alias("confidence"), F.lit(-o).alias("order")) for rs in by.values() for o, p, l, pr, c in rs]
-    arrays, at = [], 0
-    for rs in by.values():
-        arrays.append(F.array(*told[at : at + len(rs)]))
-        at += len(rs)
-    return F.map_from_arrays(F.array(*[F.lit(g) for g in by]), F.array(*arrays))
+        by.setdefault(gates, []).append({"pattern": f"^({pattern})(?= |$)", "label": label, "priority": priority, "confidence": confidence, "order": -order})
+    assert len({g for gates in by for g in gates}) == sum(map(len, by))
+    return by
+
+
+def _gated() -> Column:
+    """Literal of gate words with their block, and blocks of rules; one expression, folded once."""
+    by = _blocks()
+    told = {"gates": {g: k for k, gates in enumerate(by) for g in gates}, "blocks": list(by.values())}
+    return F.from_json(F.lit(json.dumps(told)), "struct<gates:map<string,int>,blocks:array<array<struct<pattern:string,label:string,priority:int,confidence:double,order:int>>>>")
 
 
-def _gate_words() -> list[str]:
-    return list(dict.fromkeys(g for gates, *_ in rules() for g in gates))
+def _gate_pattern() -> str:
+    """A regular expression that matches gate words alone, by first letter."""
+    by: dict[str, list[str]] = {}
+    for g in sorted(g for gates in _blocks() for g in gates):
+        by.setdefault(g[0], []).append(g[1:])
+    return "^(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")$"
 
 
 _DETECTION = "array<struct<start:int,end:int,label:string,priority:int,confidence:double>>"
@@ -146,8 +72,7 @@ _DETECTION = "array<struct<start:int,end:int,label:string,priority:int,confidenc
 
 def detections(words: Column) -> Column:
     """Kept detections of a word array: (start, end, label, priority, confidence), by start."""
-    gates = _gate_words()
-    gate_list = F.array(*[F.lit(g) for g in gates])
+    gate_pattern = _gate_pattern()
 
     def at_word(i: Column, table: Column, ws: Column) -> Column:
         context = F.array_join(F.slice(ws, i + 1, F.lit(REACH)), " ")
@@ -157,14 +82,14 @@ def detections(words: Column) -> Column:
                 found = F.regexp_substr(text, r["pattern"])
                 return F.struct(r["priority"].alias("priority"), F.length(found).alias("size"), r["order"].alias("order"), found.alias("found"), r["label"].alias("label"), r["confidence"].alias("confidence"))
 
-            return F.array_max(F.filter(F.transform(table[F.get(ws, i)], match), lambda h: h["size"] > 0))
+            return F.array_max(F.filter(F.transform(F.get(table["blocks"], table["gates"][F.get(ws, i)]), match), lambda h: h["size"] > 0))
 
         return let(let(context, tried), lambda h: F.struct(
             i.alias("start"), (i + 1 + F.length(h["found"]) - F.length(F.replace(h["found"], F.lit(" "), F.lit("")))).alias("end"),
             h["label"].alias("label"), h["priority"].alias("priority"), h["confidence"].alias("confidence")))
 
     def all_of(ws: Column) -> Column:
-        places = F.filter(F.transform(ws, lambda w, i: F.when(F.array_contains(gate_list, w), i)), lambda i: i.isNotNull())
+        places = F.filter(F.transform(ws, lambda w, i: F.when(w.rlike(gate_pattern), i)), lambda i: i.isNotNull())
         return F.filter(let(_gated(), lambda table: F.transform(places, lambda i: at_word(i, table, ws))), lambda d: d["label"].isNotNull())
 
     def kept(found: Column) -> Column:
@@ -203,9 +128,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     The score is the highest confidence of a kept detection, 0.6 for a base phrase.
     """
     rows = df.select(pick(df, id_col).alias(id_col), normal(pick(df, text_col)).alias("_text"))
+    rows = rows.withColumn("_padded", F.concat(F.lit(" "), "_text", F.lit(" ")))
     gate = F.lit(False)
     for keyword in reversed(KEYWORDS):
-        gate = F.contains("_text", F.lit(keyword)) | gate
+        gate = F.contains("_padded", F.lit(keyword)) | gate
     words = F.when(gate, F.split("_text", " ")).otherwise(F.array().cast("array<string>"))
     found = rows.select(
         id_col, F.when(F.col("_text") == "", F.lit(0)).otherwise(F.length("_text") - F.length(F.replace("_text", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),

@@ -25,9 +25,9 @@ def base_of(w):
 def detections_of(w):
     found = []
     for i, word in enumerate(w):
-        context, hits = " ".join(w[i : i + L.REACH]), []
+        context, hits = " ".join(w[i:]), []
         for order, (gates, pattern, label, priority, confidence) in enumerate(L.rules()):
-            if word in gates and (m := re.match(f"({pattern})(?= |$)", context)) and m[1]:
+            if word in gates and (m := re.match(f"({pattern})(?= |$)", context, re.A)) and m[1]:
                 hits.append((priority, len(m[1]), -order, m[1], label, confidence))
         if hits:
             priority, _, _, text, label, confidence = max(hits)
@@ -38,6 +38,8 @@ def detections_of(w):
 TEXTS = [
     None, "", "mit", "Licensed under the Apache License, Version 2.0 (the License)", "CC BY-NC 4.0 and cc by cc by", "GNU General Public License version 3 or later. GNU General Public License", "GPLv3 lgpl 2.1",
     "MIT License mit license", "BSD 3-Clause License, two clause BSD license", "Creative Commons Attribution-ShareAlike 4.0 International License", "released under the MIT license. All rights reserved", "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. SPDX-License-Identifier: MIT",
+    "Neither the name of the Example Foundation of Anywhere nor the names of its contributors may be used to endorse or promote products", "https://www.apache.org/licenses/LICENSE-2.0 gplv2 three-clause BSD",
     "apache" + " filler" * 3000 + " apache license 2.0", "Mozilla Public License 2.0, Eclipse Public License - v 2.0", "public domain; CC0 1.0", "gnu\ngeneral\tpublic\x00license", "the gnu général public license",
 ]
 
@@ -57,15 +59,6 @@ def test_license_scan(spark):
     assert L.scan(df.limit(0)).count() == 0
 
 
-def test_every_rule_is_behind_the_gate():
-    samples = {"gpl-3.0": "gpl 3 0", "mit": "mit license", "bsd-3-clause": "bsd 3 clause", "cc0-1.0": "cc0", "public-domain": "public domain", "all-rights-reserved": "all rights reserved"}
-    for text in [*samples.values(), *(p for p, _ in L.BASE)]:
-        assert any(k in text for k in L.KEYWORDS), text
-    literal = lambda p: re.sub(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??", "", p)
-    for _, pattern, label, _, _ in L.rules():
-        assert any(k in pattern.replace("licen[cs]e", "licence") or k.strip() in label for k in L.KEYWORDS), (pattern, literal(pattern))
-
-
 # --- HTML extraction
 
 PAGES = [
@@ -114,7 +107,7 @@ def chunks(t):
 
 
 def cleaned(rows):
-    worth = lambda c: sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in c) >= D.MIN_LINES and len("\n".join(c)) >= D.MIN_CHARS
+    worth = lambda c: sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in c) >= D.MIN_LINES
     first = {}
     for i, t in rows:
         for s, c in chunks(t):
