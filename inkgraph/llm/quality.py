@@ -1,22 +1,26 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule reads a few features of the text.  :func:`plan_cascade` measures every rule on a
-bounded sample: the seconds it takes and the share of rows that it rejects.  The rules then
-run in the order of rejection per second, nested so that a row which one rule rejects is
-never shown to the next.  The order changes the cost alone: a row is kept when all rules
-pass it.
+bounded sample: the share of rows that it rejects, and what it costs.  For the cost, a job
+evaluates the rule so many times a row that it takes several times as long as a job without
+it; the difference counts, the best of a few runs, as a power of two so that noise does not
+decide.  The rules then run in the order of rejection per cost, nested so that a row which one
+rule rejects is never shown to the next.  The order changes the cost alone: a row is kept when
+all rules pass it.
 
 Defined cases: a null text has no words and fails; an empty table gives an empty result;
-ties in the measured order fall back to the rules' names; repeated rows are judged alike.
+ties in the measured order fall back to the rules' names; repeated rows are judged alike;
+very long texts are read whole; other columns stay as they are, whatever their names, and a
+text that the features do not need is not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from .text import SPACE, let, pick
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 2000
+RUNS = 3
+MOST_TIMES = 16
 
 
 def words(text: Column) -> Column:
@@ -104,20 +110,37 @@ def from_text(text: Column) -> Callable[[str], Column]:
     return lambda name: FEATURES[name](known)
 
 
+def _seconds(texts: DataFrame, test: Column, times: int, sample_rows: int) -> float:
+    """Seconds of one job that evaluates ``test`` so many times for each of the first rows."""
+    began = time.perf_counter()
+    texts.select("text", F.explode(F.sequence(F.lit(1), F.lit(times)))).select(test.alias("passed")).limit(sample_rows * times).collect()
+    return time.perf_counter() - began
+
+
+def cost_of(texts: DataFrame, test: Column, idle: float, sample_rows: int = SAMPLE_ROWS, runs: int = RUNS) -> float:
+    """Seconds that one evaluation of ``test`` over the sample takes, beyond what an idle job of ``idle`` seconds does."""
+    times = 1
+    while (took := _seconds(texts, test, times, sample_rows)) < 4 * idle and times < MOST_TIMES:
+        times *= 4
+    return max(min([took, *(_seconds(texts, test, times, sample_rows) for _ in range(runs - 1))]) - idle, idle / 100) / times
+
+
 def plan_cascade(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, both measured on ``sample_rows`` rows at most.
 
-    The sample is the first rows that a limit finds, so only as many files are read as it takes.
+    The sample is the first rows that a limit finds: partitions are read one after the other until
+    there are enough, and the driver gets booleans, no texts.
     """
-    rows = df.select(pick(df, text_col).alias("text")).limit(sample_rows).collect()
-    sample = df.sparkSession.createDataFrame(pa.table({"text": pa.array([r["text"] for r in rows], pa.string())}))
-    get, measured = from_text(F.col("text")), []
-    for warm in (True, False):
-        for rule in rules:
-            began = time.perf_counter()
-            seen, out = sample.agg(F.count(F.lit(1)), F.count_if(~rule.test(get))).first()
-            if not warm:
-                measured.append((-out / max(seen, 1) / (time.perf_counter() - began), rule.name, rule))
+    texts, get = df.select(pick(df, text_col).alias("text")), from_text(F.col("text"))
+    seen = texts.select(*[(~rule.test(get)).alias(f"r{k}") for k, rule in enumerate(rules)]).limit(sample_rows).collect()
+    idle_test = F.length("text") < 0
+    _seconds(texts, idle_test, 1, sample_rows)
+    idle = min(_seconds(texts, idle_test, 1, sample_rows) for _ in range(RUNS))
+    measured = []
+    for k, rule in enumerate(rules):
+        rejected = sum(bool(r[k]) for r in seen)
+        cost = 2.0 ** round(math.log2(cost_of(texts, rule.test(get), idle, sample_rows))) if rejected else 1.0
+        measured.append((-rejected / max(len(seen), 1) / cost, rule.name, rule))
     return [rule for _, _, rule in sorted(measured, key=lambda x: x[:2])]
 
 
@@ -134,9 +157,9 @@ def keep_good(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RUL
     return df.where(cascade(plan_cascade(df, text_col, rules), from_text(pick(df, text_col))))
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Every row's id, features and verdict."""
-    get = from_text(pick(df, text_col))
-    order = plan_cascade(df, text_col, rules)
-    wide = df.select(pick(df, id_col).alias(id_col), *[get(name).alias(name) for name in FEATURES])
-    return wide.withColumn("kept", cascade(order, lambda name: F.col(name)))
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, features: Sequence[str] = tuple(FEATURES)) -> DataFrame:
+    """Every row's id, the named features and the verdict; other features are computed where a rule of the cascade gets to them."""
+    text = F.coalesce(pick(df, text_col), F.lit(""))
+    wide = df.select(pick(df, id_col).alias("_id"), text.alias("_text"), *[FEATURES[name](text).alias(name) for name in features])
+    verdict = cascade(plan_cascade(df, text_col, rules), lambda name: F.col(name) if name in features else FEATURES[name](F.col("_text")))
+    return wide.select(F.col("_id").alias(id_col), *features, verdict.alias("kept"))

@@ -41,3 +41,24 @@ def test_empty_and_clashing(spark):
     df = spark.createDataFrame([(1, "a b", True)], "doc_id int, text string, kept boolean")
     assert Q.measure(df).first()["kept"] is False
     assert sorted(r.name for r in Q.plan_cascade(df)) == sorted(r.name for r in Q.RULES)
+
+
+def test_cascade_order_is_stable(spark):
+    """The costs are the rules' own: a rule that does much more work costs more, and repeated plans agree."""
+    base = " ".join(f"word{i}" for i in range(400))
+    df = spark.createDataFrame([(i, ("few words here" if i % 4 == 0 else "#### " * 300 if i % 4 == 1 else "same three words " * 100 if i % 4 == 2 else base) + f" {i}") for i in range(400)], "doc_id int, text string")
+    cheap, dear = Q.Rule("cheap", lambda f: F.length(F.lit("x")) + f("n_symbols") < 200), Q.Rule("dear", lambda f: f("n_repeat_words") < 200)
+    assert {tuple(r.name for r in Q.plan_cascade(df, rules=(dear, cheap))) for _ in range(3)} == {("cheap", "dear")}
+
+
+def test_features_that_are_not_asked_for(spark):
+    df = spark.createDataFrame([(1, "one line here " * 20 + "\na\na\na\na\na", "x"), (1, "one line here " * 20 + "\na\na\na\na\na", "x")], "doc_id int, text string, n_lines string")
+    few = Q.measure(df, features=("n_words",)).collect()
+    assert few[0].asDict().keys() == {"doc_id", "n_words", "kept"} and few[0] == few[1]
+    assert few[0]["kept"] == Q.measure(df).first()["kept"]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(300_000))
+    got = Q.measure(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert (got["n_words"], got["n_repeat_words"]) == (300_000, 300_000)
