@@ -6,18 +6,22 @@ pieces of one length are alike, and the packing depends on the histogram of leng
 ``capacity`` rows at most, whatever the corpus.  The driver packs that histogram:
 
 * lengths in decreasing order; bins with equal residuals form one group with a range of
-  sequence ids; each step takes the feasible group whose residual vector suits the piece
-  best - the smallest weighted norm of what would be left over, or the largest weighted
-  dot product of demand and residual - and fills its bins; all three capacities are checked;
-* of the given scorings, the plan with the fewest sequences is used.
+  sequence ids; each piece goes to the feasible bin whose residual vector suits it best - the
+  smallest weighted norm of what would be left over, or the largest weighted dot product of
+  demand and residual - under all three capacities.  A bin that takes a piece has a smaller
+  norm, so it stays the best until it is full, and a group is filled bin by bin; its dot
+  product falls, so a group takes one piece a bin before it is looked at again;
+* every scoring of the query's list weighs all three parts; of the given scorings, the plan
+  with the fewest sequences is used, of equals the first.
 
 The plan maps (length, rank within the length) to a sequence and an offset.  Ranks come
 from a shuffle by (length, salt) with as many salts as a length has shares of the table, so
 a length that a third of all pieces has is spread like the rest.
 
 Defined cases: a null or empty text is the closing id alone; an empty table gives an empty
-result; repeated rows are packed like any others; a null id is carried along; extra columns
-are not read.
+result; repeated rows are packed like any others; a null id is carried along; a very long text
+is cut into many pieces; a piece that asks for more than a whole sequence has (limits set by
+the caller) gets a sequence of its own; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import filterfalse
 
 import numpy as np
@@ -209,7 +214,7 @@ class Scoring:
     weights: tuple[float, float, float]
 
 
-SCORINGS = (Scoring("norm", (1.0, 0.0, 0.0)), Scoring("norm", (1.0, 0.05, 0.05)), Scoring("norm", (1.0, 1.0, 1.0)), Scoring("dot", (1.0, 0.5, 0.5)))
+SCORINGS = (Scoring("norm", (1.0, 1.0, 1.0)), Scoring("norm", (1.0, 0.05, 0.05)), Scoring("dot", (1.0, 0.5, 0.5)))
 
 
 @dataclass(frozen=True)
@@ -224,7 +229,7 @@ class Plan:
 
 
 def plan_packing(histogram: dict[int, int], capacity: int, max_docs: int, max_attention: int, scoring: Scoring) -> Plan:
-    """Best fit by ``scoring`` over a histogram of lengths, longest first."""
+    """Best fit by ``scoring`` over a histogram of lengths, longest first; of equally good bins the first."""
     caps = np.array([capacity, max_docs, max_attention], float)
     weight = np.array(scoring.weights)
     left = np.zeros((0, 3), np.int64)  # residual capacities of each group's bins
@@ -232,56 +237,52 @@ def plan_packing(histogram: dict[int, int], capacity: int, max_docs: int, max_at
     rows: list[tuple[int, int, int, int]] = []
     total = 0
     smallest = min(histogram, default=1)
+
+    def scores(residual: np.ndarray, ask: np.ndarray) -> np.ndarray:
+        if scoring.kind == "norm":
+            return (weight * ((residual - ask) / caps) ** 2).sum(-1)
+        return -(weight * (ask / caps) * (residual / caps)).sum(-1)
+
     for size in sorted(histogram, reverse=True):
-        if size > capacity or size * size > max_attention or max_docs < 1:
-            raise ValueError(f"a piece of {size} tokens fits no sequence")
         ask = np.array([size, 1, size * size], np.int64)
         todo, rank = histogram[size], 0
         alive = (left >= [smallest, 1, smallest * smallest]).all(1)
         left, first, count = left[alive], first[alive], count[alive]
-        more_left, more_first, more_count = [], [], []
-        open_ = (left >= ask).all(1)
-        if scoring.kind == "norm":
-            score = (weight * ((left - ask) / caps) ** 2).sum(1)
-        else:
-            score = -(weight * (ask / caps) * (left / caps)).sum(1)
-        order = np.lexsort((first, score))
-        order = order[open_[order]].tolist()
-        for g in [*order, -1]:
-            if not todo:
-                break
-            if g < 0:  # new sequences
-                each = int(min(caps // ask))
-                have, start, base = -(-todo // each), total, caps.astype(np.int64)
+        fits = np.flatnonzero((left >= ask).all(1))
+        heap = list(zip(scores(left[fits], ask).tolist(), first[fits].tolist(), count[fits].tolist(), map(tuple, left[fits].tolist()), strict=True))
+        rest = np.ones(len(left), bool)
+        rest[fits] = False
+        heapify(heap)
+        done: list[tuple[int, int, tuple[int, ...]]] = []  # groups (first, count, residual) that take no more of this length
+        while todo:
+            if heap:
+                _, start, have, base = heappop(heap)
+                each = min(b // a for b, a in zip(base, ask.tolist(), strict=True)) if scoring.kind == "norm" else 1
+            else:  # new sequences; each is filled before the next is opened
+                base = tuple(int(c) for c in caps)
+                each = max(1, min(b // a for b, a in zip(base, ask.tolist(), strict=True)))
+                start, have = total, -(-todo // each)
                 total += have
-            else:
-                each, have, start, base = int((left[g] // ask).min()), int(count[g]), int(first[g]), left[g].copy()
-            used = int(capacity - base[0])
+            used = capacity - base[0]
             full = min(have, todo // each)
             for k in range(each if full else 0):
                 rows.append((size, rank + k * full, start, used + k * size))
             rank, todo = rank + each * full, todo - each * full
-            groups = [(base - each * ask, start, full)]
-            rest = todo if full < have else 0  # fewer than fill one more bin
-            if rest:
-                for k in range(rest):
-                    rows.append((size, rank + k, start + full, used + k * size))
-                rank, todo = rank + rest, 0
-                groups.append((base - rest * ask, start + full, 1))
-            gone = full + bool(rest)
-            groups.append((base, start + gone, have - gone))
-            if g >= 0:
-                count[g] = 0
-            for x, s, c in groups:
-                if c:
-                    more_left.append(x)
-                    more_first.append(s)
-                    more_count.append(c)
-        if more_left:
-            keep = count > 0
-            left = np.concatenate([left[keep], np.array(more_left, np.int64)])
-            first = np.concatenate([first[keep], np.array(more_first, np.int64)])
-            count = np.concatenate([count[keep], np.array(more_count, np.int64)])
+            over = todo if full < have else 0  # fewer than fill one more bin
+            for k in range(over):
+                rows.append((size, rank + k, start + full, used + k * size))
+            rank, todo = rank + over, todo - over
+            gone = full + bool(over)
+            for s, c, n in ((start, full, each), (start + full, int(bool(over)), over), (start + gone, have - gone, 0)):
+                now = tuple(b - n * a for b, a in zip(base, ask.tolist(), strict=True))
+                if c and all(x >= y for x, y in zip(now, ask.tolist(), strict=True)):
+                    heappush(heap, (float(scores(np.array(now), ask)), s, c, now))
+                elif c:
+                    done.append((s, c, now))
+        groups = done + [(s, c, base) for _, s, c, base in heap]
+        left = np.concatenate([left[rest], np.array([g[2] for g in groups], np.int64).reshape(-1, 3)])
+        first = np.concatenate([first[rest], np.array([g[0] for g in groups], np.int64)])
+        count = np.concatenate([count[rest], np.array([g[1] for g in groups], np.int64)])
     table = np.array(sorted(rows), np.int64).reshape(-1, 4)
     return Plan(*(table[:, k].copy() for k in range(4)), n_sequences=total)
 
