@@ -1,9 +1,10 @@
-"""Command line: ``python -m inkgraph.cli check|graph|index|emit|report|fix-prompt|orphans|version PATH``."""
+"""Command line: ``python -m inkgraph.cli [summary|check|graph|index|emit|report|fix-prompt|orphans|serve|version] PATH``; summary if no verb is given."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -14,15 +15,17 @@ from .docgraph import DocGraph
 from .model import FINDING_KINDS, POLICIES, finding_kind
 from .operators import conformance
 from .operators import findings as N
+from .serve import serve
 from .sinks import render
 from .sources import config
 
 OK, FAILED, USAGE, RUNTIME = 0, 1, 2, 3
+VERBS = ("summary", "check", "graph", "index", "emit", "report", "fix-prompt", "orphans", "serve", "version")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="inkgraph")
-    p.add_argument("verb", choices=("check", "graph", "index", "emit", "report", "fix-prompt", "orphans", "version"))
+    p.add_argument("verb", choices=VERBS)
     p.add_argument("path", nargs="?", default=".")
     p.add_argument("--strict", action="store_true")
     p.add_argument("--root", action="append", dest="roots")
@@ -39,10 +42,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--llms", action="store_true")
     p.add_argument("--full", action="store_true")
     p.add_argument("--small", action="store_true")
+    p.add_argument("--color", choices=("auto", "always", "never"), default="auto")
+    p.add_argument("--only", action="append", choices=("isolated", "deadEnd", "underLinked", "unreachable", "farFromRoot"), help="orphans: these lists alone")
     return p
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    args = list(sys.argv[1:] if args is None else args)
+    if not args or args[0].startswith("--") and args[0] != "--help" or args[0] not in VERBS and os.path.isdir(args[0]):
+        args.insert(0, "summary")
     try:
         a = parser().parse_args(args)
     except SystemExit as stop:
@@ -69,7 +77,16 @@ def _run(a: argparse.Namespace, g: DocGraph, notices: list) -> int:
     for kind, path, detail in (*notices, *g.notices):
         print(f"{kind} {path}: {detail}", file=sys.stderr)
     if a.verb == "orphans":
-        print(json.dumps(Queries(g).list_orphans(), indent=2))
+        found = Queries(g).list_orphans()
+        print(json.dumps({k: found[k] for k in a.only} if a.only else found, indent=2))
+        return OK
+    if a.verb == "serve":
+        serve(Queries(g), sys.stdin, sys.stdout)
+        return OK
+    if a.verb == "summary":
+        for kind, path, detail in g.analysis_notices():
+            print(f"{kind} {path}: {detail}", file=sys.stderr)
+        print(render.terminal(render.View(g), N.report(g), render.use_colour(a.color, sys.stdout.isatty(), dict(os.environ))), end="")
         return OK
     if a.verb == "emit":
         render.write_all(a.out or "out", render.bundle(g, a.title))

@@ -23,6 +23,10 @@ from .sources import markdown as M
 from .sources import scan
 
 
+# From how many documents on a low compactness is told, and what is low.
+LOW_COMPACTNESS_DOCS, LOW_COMPACTNESS = 10, 0.1
+
+
 @dataclass
 class DocGraph:
     """Tables and results of one corpus; each is made when first asked for and written once."""
@@ -43,6 +47,21 @@ class DocGraph:
     def scratch(self) -> Scratch:
         return Scratch(self.spark, "docgraph")
 
+    def analysis_notices(self) -> list[tuple[str, str, str]]:
+        """What limits the results (N10, I1): ids of several files, no roots, malformed globs, cut lists, low compactness."""
+        out = [("analysis", r["doc_id"], f"{r['n']} files give this id") for r in M.duplicate_ids(self.documents).orderBy("doc_id").collect()]
+        empty = self.documents.isEmpty()
+        if not empty and not self.has_roots:
+            out.append(("analysis", ".", "no roots were found; reachability is not told"))
+        out += [("analysis", glob, "the root pattern is malformed and matches nothing") for glob in self.config.roots if P.glob_regex(glob) is None]
+        if self.gaps[1]:
+            out.append(("analysis", ".", "only the first knowledge gaps are listed"))
+        if self.suggestions[1] or self.suggestions[2]:
+            out.append(("analysis", ".", "only some suggested links are listed: the list is capped, or neighbours with very many links were passed over"))
+        if not empty and self.documents.count() >= LOW_COMPACTNESS_DOCS and (compactness := self.navigability.first()["compactness"] or 0.0) < LOW_COMPACTNESS:
+            out.append(("analysis", ".", f"compactness is {compactness:.3f}: few documents can be reached from one another"))
+        return out
+
     # --- tables -----------------------------------------------------------------------
 
     @cached_property

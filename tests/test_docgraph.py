@@ -72,7 +72,7 @@ def test_findings_and_renderers(g, tmp_path):
     assert ("README.md", "click here") in scent and ("docs/adr/0001-first.md", "ADR 0001") not in scent
     out = render.bundle(g)
     graph = json.loads(out["graph.json"])
-    assert len(graph["nodes"]) == 8 and graph["schemaVersion"] == 7 and {"from": "README.md", "to": "docs/guide.md"} in graph["edges"]
+    assert len(graph["nodes"]) == 8 and graph["schemaVersion"] == 7 and {"from": "README.md", "to": "docs/guide.md", "type": "reference", "health": "valid"} in graph["edges"]
     assert len(json.loads(out["findings.json"])["findings"]) == found.count() == len(ET.fromstring(out["junit.xml"].split("\n", 1)[1]))
     assert "User Guide" in out["llms.txt"] and "## Setup" in out["llms-full.txt"] and "aliases" not in out["llms-full.txt"] and out["graph.dot"].startswith("digraph")
     render.write_all(str(tmp_path), out)
@@ -159,3 +159,43 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(batch, "src string, dst string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         watch_edges(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "check"), lambda proj, k: seen.append(proj.count())).awaitTermination()
     assert seen == [1, 2]
+
+
+def test_manifest_tells_what_its_lists_hold(g):
+    graph = json.loads(render.graph_json(render.View(g)))
+    assert list(graph)[:5] == ["schemaVersion", "tool", "generatedNote", "summary", "nodes"]
+    assert set(graph["nodes"][0]) == {
+        "id", "kind", "title", "path", "description", "category", "inDegree", "outDegree", "component", "hubScore", "authorityScore", "reachable", "orphan", "intentionalOrphan", "underLinked", "deadEnd", "bowtie", "betweenness",
+        "isArticulation", "pageRank", "hopsFromRoot"}
+    said = graph["summary"]
+    for key, rows in (("documents", "nodes"), ("edges", "edges"), ("orphans", "orphans"), ("unreachable", "unreachable"), ("brokenLinks", "brokenLinks"), ("brokenAnchors", "brokenAnchors"), ("ambiguous", "ambiguous"), ("bridges", "bridges")):
+        assert said[key] == len(graph[rows]), key
+    assert said["brokenLinks"] == 3 and graph["brokenAnchors"][0]["expectedSlug"] == "none" and graph["ambiguous"][0]["candidates"] == ["a/notes.md", "b/notes.md"]
+    assert graph["rootSet"] == ["README.md", "docs/adr/README.md"] and graph["reachability"] == {"indeterminate": False}
+    assert sum(graph["bowtie"][k] for k in ("core", "in", "out", "tendril", "disconnected")) == said["documents"]
+
+
+def test_notices(spark, tmp_path):
+    lone = write(tmp_path / "lone", {f"d{k}.md": f"# Doc {k}\n" for k in range(11)})
+    told = [detail for _, _, detail in DocGraph.from_path(spark, lone, Config(roots=("[x",))).analysis_notices()]
+    assert any("no roots" in x for x in told) and any("malformed" in x for x in told) and any("compactness is 0.000" in x for x in told)
+
+
+def test_serve(g):
+    import io
+
+    from inkgraph.serve import serve
+
+    asked = [{"method": "initialize", "id": 1}, {"method": "notifications/initialized"}, {"method": "tools/list", "id": 2}, {"method": "tools/call", "id": 3, "params": {"name": "what-links-to", "arguments": {"document": "docs/guide.md"}}},
+             {"method": "tools/call", "id": 4, "params": {"name": "what-links-to", "arguments": {"document": "no.md"}}}, {"method": "tools/call", "id": 5, "params": {"name": "path-between", "arguments": {"from": "README.md"}}}, {"method": "x", "id": 6}]
+    out = io.StringIO()
+    serve(Queries(g), io.StringIO("\n".join([*map(json.dumps, asked), "no json", ""])), out)
+    said = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert set(said) == {1, 2, 3, 4, 5, 6, None} and len(said[2]["result"]["tools"]) == 7
+    assert json.loads(said[3]["result"]["content"][0]["text"])["backlinks"] == ["README.md", "docs/overview.md"] and said[4]["result"]["isError"]
+    assert said[5]["error"]["code"] == -32602 and said[6]["error"]["code"] == -32601 and said[None]["error"]["code"] == -32700
+
+
+def test_summary_is_the_default_verb(spark, root, capsys):
+    assert cli.main([root, "--color", "never"], spark) == 0
+    assert "broken-link" in capsys.readouterr().out
