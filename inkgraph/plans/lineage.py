@@ -35,9 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables of one operator call, in one folder of the shared folder."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, within: Scratch | None = None):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{within.path if within else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Write ``df`` and return a frame that reads it back."""
@@ -58,6 +58,13 @@ class Scratch:
         path, files = self._at(table)
         files.delete(path, True)
 
+    def keep(self, *tables: str) -> None:
+        """Delete all but these tables, with the folders of operators that worked within this one."""
+        path, files = self._at(None)
+        for found in files.listStatus(path):
+            if found.getPath().getName() not in tables:
+                files.delete(found.getPath(), True)
+
 
 class Grown:
     """A table that grows part by part and stays few tables: ``fan`` of one size are written as one of the next.
