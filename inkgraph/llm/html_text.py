@@ -23,7 +23,8 @@
 
 All passes run over arrays in document order, so depth costs no stack.  Defined cases: a
 null or empty page, or one without text, gives an empty text; markup that the page breaks
-off in is dropped; pages without a body element count as body; repeated rows are alike.
+off in is dropped; pages without a body element count as body; repeated rows are alike; very
+long or deep pages are read whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ ranges; a rule is copied to each range that its interval meets, no URL is copied
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no
 rule; of two rules of one length on the same host and path, block wins; of equally long rules
 with different hosts, the longer host wins; repeated URLs are judged alike; an empty table
-gives an empty result, an empty rule list the default verdict.
+gives an empty result, an empty rule list the default verdict; ids are of any type and carried
+along, null ids too; very long URLs are compared whole; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: st
     """``rules``: (verdict, host, path).  One row for each input row: id, url, host, path, rule, verdict."""
     spark = df.sparkSession
     url = pick(df, url_col)
-    rows = df.select(pick(df, id_col).cast("long").alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = df.select(pick(df, id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("key", _key("host")).withColumn("salt", F.xxhash64("id", "url"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = BOUND_ROWS / max(1, df.select(pick(df, id_col)).count())
@@ -104,8 +106,9 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: st
         for verdict, host, path in rules
         for b in range(bisect_right(bounds, (host_key(host).encode(), least)), bisect_right(bounds, (_after(host_key(host)).encode(), least)) + 1)
     ]
-    schema = "bucket int, key string, is_url boolean, row struct<id:bigint,url:string,host:string,path:string>, path string, rule string, verdict string"
+    row = f"row struct<id:{rows.schema['id'].dataType.simpleString()},url:string,host:string,path:string>"
+    schema = f"bucket int, key string, is_url boolean, {row}, path string, rule string, verdict string"
     urls = rows.select(bucket_of("key", "salt").alias("bucket"), "key", F.lit(True).alias("is_url"), F.struct("id", "url", "host", "path").alias("row"), "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     both = urls.unionByName(spark.createDataFrame(told, schema)) if told else urls
-    swept = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "is_url", F.length("rule")).mapInArrow(_sweep(default), "row struct<id:bigint,url:string,host:string,path:string>, rule string, verdict string")
+    swept = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "is_url", F.length("rule")).mapInArrow(_sweep(default), f"{row}, rule string, verdict string")
     return swept.select(F.col("row.id").alias(id_col), F.col("row.url").alias(url_col), F.col("row.host").alias("host"), F.col("row.path").alias("path"), "rule", "verdict")

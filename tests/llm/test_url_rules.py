@@ -32,3 +32,10 @@ def test_empty(spark):
     one = spark.createDataFrame([(None, "http://a.net/", 1), (None, "http://a.net/", 1)], "page_id long, url string, verdict int")
     assert [r["verdict"] for r in U.filter_urls(one, []).collect()] == ["allow", "allow"]
     assert [r["verdict"] for r in U.filter_urls(one, RULES).collect()] == ["block", "block"]
+
+
+def test_ids_of_any_type_and_long_urls(spark):
+    rows = [("p-1", "http://a.net/x", "q"), ("p-2", "http://b.org/fr/" + "y" * 200_000, "q"), (None, "http://" + "a." * 20_000 + "net/", "q")]
+    got = U.filter_urls(spark.createDataFrame(rows, "page_id string, url string, host string"), RULES).collect()
+    assert {(r["page_id"], r["verdict"]) for r in got} == {(i, brute(u, RULES)[3]) for i, u, _ in rows}
+    assert {r["page_id"]: r["path"] for r in got}["p-2"] == "/fr/" + "y" * 200_000
