@@ -382,35 +382,104 @@ def parse(doc_id: str, source: bytes) -> dict[str, Any]:
     }
 
 
+_COMPONENT = re.compile(r" {0,3}<Heading(?=[ \t\r\n>/])")
+_NAME = re.compile(r"[ \t\r\n]*([A-Za-z0-9_:-]+)[ \t\r\n]*(=[ \t\r\n]*)?")
+_TAG_END = re.compile(r"[ \t\r\n]*/?>")
+_QUOTED = re.compile(r"\"([^\"<\r\n]*)\"|'([^'<\r\n]*)'")
+_HIDING = re.compile(r"<!--|\{/\*|`+")
+_HIDING_SCRIPT = re.compile(r"<!--|\{/\*|`+|['\"]")
+_SCRIPT = re.compile(r"[ \t]*(?:const|let|var|export|import)(?:[ \t]|$)")
+
+
+def _braced(text: str, at: int) -> int | None:
+    """Where an expression in braces, opened before ``at`` and on one line, has ended."""
+    depth = 1
+    for m in re.compile(r"[{}\r\n]").finditer(text, at):
+        depth += {"{": 1, "}": -1}.get(m[0], -depth)
+        if m[0] in "\r\n":
+            return None
+        if not depth:
+            return m.end()
+    return None
+
+
+def component_id(text: str, at: int) -> tuple[str | None, int]:
+    """(literal id, where the tag ends) of a component whose attributes begin at ``at``; no id if it has none, several, one that is
+    an expression, or an attribute that is malformed - then the place is where reading stopped."""
+    text, ids = text[: at + MAX_TAG], []
+    while not (end := _TAG_END.match(text, at)):
+        name = _NAME.match(text, at)
+        if not name:
+            return None, at + 1
+        at = name.end()
+        if not name[2]:
+            if name[1] == "id":
+                return None, at
+            continue
+        if value := _QUOTED.match(text, at):
+            if name[1] == "id":
+                ids.append(value[1] if value[1] is not None else value[2])
+            at = value.end()
+        elif text[at : at + 1] == "{" and name[1] != "id" and (close := _braced(text, at + 1)):
+            at = close
+        else:
+            return None, at + 1
+    sound = len(ids) == 1 and ids[0] != "" and ids[0].strip() == ids[0] and not set(ids[0]) & set("{}<>\\\"'")
+    return ids[0] if sound else None, end.end()
+
+
+def _hidden(line: str, inside: tuple[str, str] | None) -> tuple[str, str] | None:
+    """What conceals the next line: a comment, a code span or a script's string that this line leaves open."""
+    at, opener = 0, _HIDING_SCRIPT if _SCRIPT.match(line) else _HIDING
+    while True:
+        if inside is None:
+            m = opener.search(line, at)
+            if not m:
+                return None
+            inside, at = ("code" if m[0][0] == "`" else m[0], m[0]), m.end()
+        kind, mark = inside
+        if kind == "<!--":
+            m = re.compile("-->").search(line, at)
+        elif kind == "{/*":
+            m = re.compile(r"\*/").search(line, at)
+            m = m and re.compile(r"[ \t]*\}").match(line, m.end())  # else the rest of the line says nothing
+        elif kind == "code":
+            m = re.compile(rf"(?<!`){mark}(?!`)").search(line, at)
+        else:
+            m = re.compile(rf"(?:\\.|[^\\{mark}])*{mark}").match(line, at)
+        if not m:
+            return inside
+        inside, at = None, m.end()
+
+
 def literal_anchors(lines: list[str], skip: int = 0) -> list[str]:
-    """Literal ids of ``<Heading id="...">`` components that begin a line outside code and comments."""
-    out, fence, comment = [], "", False
+    """Literal ids of ``<Heading id="...">`` components that begin a line (P7), outside fences, indented code, comments, code spans and strings."""
+    out, fence, inside = [], "", None
+    text, starts = "\n".join(lines) + "\n", [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
     k = skip
     while k < len(lines):
         line = lines[k]
         k += 1
-        if comment:
-            comment = "-->" not in line
-            continue
         if fence:
-            closing = re.match(r"^ {0,3}(`{3,}|~{3,})[ \t]*$", line)
+            closing = re.match(r"^ {0,3}(`{3,}|~{3,})[ \t\r]*$", line)
             fence = "" if closing and closing[1][0] == fence[0] and len(closing[1]) >= len(fence) else fence
             continue
-        if m := _FENCE.match(line):
+        if m := re.match(r"^ {0,3}(`{3,}|~{3,})", line):
             fence = m[1]
             continue
-        if re.match(r"^ {0,3}<Heading(?=[\s/>])", line):
-            tag, more = line, k
-            while ">" not in re.sub(r"\"[^\"]*\"|'[^']*'|\{[^{}]*\}", "", tag) and more < len(lines) and len(tag) < MAX_TAG:
-                tag += "\n" + lines[more]
-                more += 1
-            ids = re.findall(r"(?<![\w-])id\s*=\s*(\"[^\"]*\"|'[^']*'|\{[^{}]*\})", tag.split(">")[0] if '">' not in tag else tag)
-            if len(ids) == 1 and ids[0][0] in "\"'" and len(ids[0]) > 2 and len(tag) < MAX_TAG:
-                out.append(ids[0][1:-1])
-                k = more
-                continue
-        if "<!--" in line and "-->" not in line.split("<!--")[-1]:
-            comment = True
+        if re.match(r"^(?: {4}|\t)", line):
+            continue
+        if not inside and (m := _COMPONENT.match(text, starts[k - 1])):
+            found, end = component_id(text, m.end())
+            while k < len(lines) and starts[k] < end:  # its lines are read
+                k += 1
+            if found is not None:
+                out.append(found)
+                inside = _hidden(text[end : starts[k] - 1], None)  # what follows it on its last line
+            continue
+        inside = _hidden(line, inside)
     return out
 
 
@@ -464,5 +533,5 @@ def duplicate_ids(docs: DataFrame) -> DataFrame:
 
 
 def heading_count(docs: DataFrame) -> DataFrame:
-    """One row: ``headings``, the sections of all documents (I4)."""
-    return docs.agg(F.coalesce(F.sum(F.size("sections")), F.lit(0)).cast("long").alias("headings"))
+    """One row: ``headings``, the distinct slugs and literal anchors of all documents (I4)."""
+    return anchors(docs).agg(F.count(F.lit(1)).alias("headings"))

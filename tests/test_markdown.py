@@ -92,3 +92,18 @@ def test_config():
     for bad in ("version: 0", "version: 2", "version: one", "version: true", "roots: x", "version: [", "- a", "text", "version: 1\ninboundThreshold: -1", "version: 1\nstructureFindingsSeverity: loud", "version: 1\nroots: [1]", "a: &a [x]\nb: [" + "*a, " * 2000 + "]"):
         with pytest.raises(config.ConfigError):
             config.decode(bad)
+
+
+COMPONENTS = [
+    ('<Heading id="a">x</Heading>', ["a"]), ("   <Heading level={2} id='b' />", ["b"]), ("    <Heading id='no'/>", []), ("\t<Heading id='no'/>", []), ("text <Heading id='no'/>", []), ("<Headings id='no'>", []),
+    ("<Heading id={no}>", []), ("<Heading id>", []), ("<Heading id=''>", []), ("<Heading id=' x'>", []), ("<Heading id='a' id='b'>", []), ("<Heading\n  style={{a: {b: 1}}}\n  id='deep'\n>", ["deep"]), ("<Heading style={{a: 1}\n} id='no'>", []),
+    ("<Heading data-id='x' id='y'>", ["y"]), ("```\n<Heading id='no'>\n```\n<Heading id='yes'>", ["yes"]), ("<!--\n<Heading id='no'>\n-->\n<Heading id='yes'>", ["yes"]), ("<!-- a --> <!--\n<Heading id='no'>\n-->", []),
+    ("{/*\n<Heading id='no'>\n*/}\n<Heading id='yes'>", ["yes"]), ("{/* one */} text\n<Heading id='yes'>", ["yes"]), ("a `code\n<Heading id='no'>\nend` b\n<Heading id='yes'>", ["yes"]), ("a ``x` y``\n<Heading id='yes'>", ["yes"]),
+    ("export const a = 'open\n<Heading id='no'>\n", []), ("it's prose\n<Heading id='yes'>", ["yes"]), ("const a = 'it\\'s'\n<Heading id='yes'>", ["yes"]), ("<Heading id='a'> <!--\n<Heading id='no'>\n-->", ["a"]),
+    ("<Heading x='" + "y" * 20000 + "' id='far'>", []), ("<Heading bad=1 id='no'>\n<Heading id='yes'>", ["yes"]), ("<Heading title='a<b' id='no'>", []), ("~~~\n```\n<Heading id='no'>\n~~~", []),
+]
+
+
+def test_component_anchors():
+    for text, ids in COMPONENTS:
+        assert M.literal_anchors(text.split("\n")) == ids, text
