@@ -84,8 +84,9 @@ def test_signatures_meet():
                     a, b = (np.sort(s) for s in (x, y))
                     if np.array_equal(a, b):
                         continue
-                    sigs = [{(k, v) for k, part in enumerate(J.signatures(s, np.array([t in common for t in s.tolist()], bool), percent)) for v in part.tolist()} for s in (a, b)]
-                    assert sigs[0] & sigs[1], (percent, n, share, gone)
+                    found = [J.signatures(s, np.array([t in common for t in s.tolist()], bool), percent) for s in (a, b)]
+                    sigs = [{(k, v) for k, part in enumerate(x[:2]) for v in part.tolist()} for x in found]
+                    assert len(sigs[0] & sigs[1]) >= min(x[2] for x in found), (percent, n, share, gone)
 
 
 def test_bounds_hold():
@@ -93,8 +94,83 @@ def test_bounds_hold():
     for n in (1, 20, 500, 30_000):
         x = np.unique(r.integers(1, 2**63, n, dtype=np.uint64))
         y = np.unique(np.concatenate((x[: n // 2], r.integers(1, 2**63, n, dtype=np.uint64))))
-        left, right = J.sketches_of([J.sketch(x)]), J.sketches_of([J.sketch(y)])
-        assert J.at_most_shared(left, right, np.array([len(x)]), np.array([len(y)]))[0] >= len(np.intersect1d(x, y))
+        both, true = np.union1d(x, y), len(np.intersect1d(x, y))
+        for cells in (J.coarse(90), J.coarse(80), J.FINE):
+            tables = J._by_width([J.sketch(x, cells), J.sketch(y, cells)])
+            width = min(tables)
+            left, right = (J._folded(np.frombuffer(J.sketch(s, cells), np.uint64)[None], width) for s in (x, y))
+            percent = 100 * true // len(both)
+            may, bound = J.may_link(left, right, np.array([len(x)]), np.array([len(y)]), percent)
+            assert may[0] and bound[0] >= true / len(both)
+
+
+def test_similar_sizes_are_at_most_a_band_apart():
+    for percent in (50, 80, 90, 99):
+        width = np.log(100 / percent) * 1.001
+        n = np.arange(1, 5000)
+        least = -(-percent * n // 100)
+        assert (np.floor(np.log(n) / width) - np.floor(np.log(least) / width) <= 1).all()
+
+
+def test_close_pairs_are_all_there():
+    r = np.random.default_rng(10)
+    sets = []
+    for size in (3, 40, 63, 64, 65, 130, 700):
+        base = r.integers(1, 2**63, size, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[k:], r.integers(1, 2**63, k, dtype=np.uint64)))) for k in range(max(2, size // 6))]
+    n, component = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2
+    got = {tuple(sorted(p)) for left, right, _ in J.close_pairs(component, n, [J.sketch(s, J.FINE) for s in sets], 80) for p in zip(left.tolist(), right.tolist(), strict=True)}
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if component[i] != component[j] and 100 * shared >= 80 * (n[i] + n[j] - shared):
+                assert (j, i) in got
+    assert all(component[i] != component[j] for i, j in got)
+
+
+def test_output_is_linear():
+    """A spanning forest has fewer pairs than components, the limited rounds no more than ``limit`` a member of the smaller."""
+    n, component = 300, np.arange(300) // 3
+    every = [np.array(x) for x in zip(*((i, j, 1 - abs(i - j) / 1000) for i in range(n) for j in range(i) if component[i] != component[j]), strict=True)]
+    parts = [tuple(x[k : k + 5000] for x in every) for k in range(0, len(every[0]), 5000)]
+    assert len(J.spanning(component, iter(parts))) == 99
+    got = J.best_partners(component, component, iter(parts), 4, np.zeros(0, np.int64))
+    assert len(got) <= 4 * n and max(np.bincount([p for p, _ in got])) == 4
+    tried = np.array([min(p, q) * n + max(p, q) for p, q in got], np.int64)
+    assert not set(got) & set(J.best_partners(component, component, iter(parts), 4, tried))
+
+
+@pytest.mark.parametrize("partners", [1, 16])
+def test_many_near_misses(spark, monkeypatch, partners):
+    """Groups full of pairs just above and below the threshold, of which few are links."""
+    monkeypatch.setattr(J, "PARTNERS", partners)
+    monkeypatch.setattr(J, "BLOCK", 32)
+    r = random.Random(31)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for at in r.sample(range(100), r.choice((1, 2, 2, 3, 3, 4))):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(f"z{j}" for j in range(3000)) + " tail" * k) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((3, 90), (5, 80)):
+        assert sorted(map(tuple, J.jaccard_components(df, width=width, percent=percent).collect())) == brute(rows, width, percent)
+
+
+def test_extra_columns_and_repeats(spark):
+    rows = [(1, "a b c d e f g", 5, b"x"), (1, "a b c d e f g", 5, b"x"), (2, "A B C D E F G", None, None), (None, "a b c d e f g", 1, None), (3, None, 0, b"")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles long, digest binary")
+    got = sorted(map(tuple, J.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(1, 5, 1), (1, 5, 1), (2, 5, 1), (None, 5, 1), (3, 0, 3)], key=str)
+
+
+def test_unique_text_with_a_shared_id_stays(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, base), (2, base + " z"), (2, "a text of its own that no other row has")]
+    got = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
 
 
 def test_one_of_each(spark):
@@ -113,3 +189,10 @@ def test_bitmap(spark):
     bits = J.bitmap(at, "at")
     probe = np.array([0, 1, 2, 5, 32766, 32767, 32768, 32769, 2**24 - 2, 2**24 - 1])
     assert J._has(bits, probe).tolist() == [True, True, False, True, False, True, True, False, False, True]
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k}" for k in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[:-40], "y"])), (3, " ".join(words[:100_000])), (4, " ".join(words[50_000:]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (149_998, 1), 2: (149_960, 1), 3: (99_998, 3), 4: (99_998, 4)}
