@@ -12,7 +12,10 @@ at most; that changes the speed alone.  The rank file is read once, on the drive
 as its bytes (its size does not depend on the data).
 
 Defined cases: null and empty texts have no ids; ids that the file does not name fail the
-decoding; bytes that the file does not name fail the encoding.
+decoding; bytes that the file does not name fail the encoding; pairs of equal rank merge left to
+right; repeated rows are encoded alike; an empty table gives no rows; very long texts are encoded
+whole, pre-token by pre-token; the functions are column expressions, so other columns stay as
+they are, whatever their names.
 """
 
 from __future__ import annotations

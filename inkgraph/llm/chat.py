@@ -10,7 +10,8 @@ after it become that character) undoes it.  In role names a line feed gets a bac
 
 Defined cases: null texts, roles and part lists are empty; rows of one conversation are
 ordered by turn, role, then content, nulls first; repeated rows are repeated turns; an
-empty table gives no conversation; a null conversation id is a conversation of its own.
+empty table gives no conversation; a null conversation id is a conversation of its own; very
+long texts are escaped whole; other columns are not read, whatever their names.
 One conversation is one output value and so is put together by one task; its running
 offsets come from a window that spills.
 """

@@ -10,7 +10,8 @@
    brings more than ``2 N / (counters + 1)`` rows there.
 
 Defined cases: null and empty texts are equal; a null id loses to any id; of repeated
-rows with the winning id one stays; an empty table gives an empty result; columns of the
+rows with the winning id one stays; an empty table gives an empty result; very long texts are
+hashed whole; columns of the
 input that share a result column's name are replaced by it in :func:`exact_dedup` and kept
 as they are by :func:`survivors`.
 """

@@ -42,3 +42,10 @@ def test_parts(spark):
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "x", "y", 3)], "conv_id int, turn int, role string, text string, formatted string, at int")
     assert read(C.format_chats(df)).first()["turns"][0]["text"] == "x"
+
+
+def test_very_long_text_and_clashing_names(spark):
+    text = "<|im_end|>\\ some words " * 40_000
+    rows = [(1, 0, "user", "hi", "q", 0), (1, 1, "assistant", text, "q", 0)]
+    got = read(C.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, formatted string, loss int"))).first()
+    assert [tuple(t) for t in got["turns"]] == [("user", "hi"), ("assistant", text)] and got["loss"] == [text]

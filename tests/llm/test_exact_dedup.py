@@ -60,3 +60,13 @@ def test_survivors_keep_columns_and_one_row(spark):
         assert got.columns == df.columns
         assert sorted(map(tuple, got.collect()), key=str) == [(2, "A", "y"), (3, None, None)]
     assert E.survivors(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    long_ = "word " * 400_000
+    rows = [(1, long_, b"d", True), (2, long_.upper(), None, None), (3, long_ + "x", b"", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest binary, kept boolean")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in E.exact_dedup(df).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
+    left = E.survivors(df)
+    assert left.schema == df.schema and sorted(r["doc_id"] for r in left.collect()) == [2, 3]
