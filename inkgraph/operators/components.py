@@ -3,7 +3,7 @@
 Weak components come from alternating star contraction.
 
 Each round points every vertex of a neighbourhood at the smallest vertex seen there: first
-the larger neighbours (large star), then the smaller ones (small star).  Rounds take two
+the larger neighbours (large star), then the smaller ones (small star).  Rounds take three
 shuffles of the edge list, their number grows with the logarithm of the longest path, and
 the edge list never grows.  The edge list of each round is written to the shared folder.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import Scratch
@@ -21,16 +21,16 @@ from ..plans.lineage import Scratch
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with v < u; every v of u, and u, pointed at u's smallest."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    far = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return far.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    least = edges.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+    both = least.select("m", F.explode(F.array("u", "v")).alias("u"))
+    return both.where("u <> m").select("u", F.col("m").alias("v")).distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u pointed at the smallest of u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Every larger neighbour of u pointed at the smallest of u and its neighbours; edges may repeat."""
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+    least = both.select("u", "v", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")).alias("m"))
+    return least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _are_stars(edges: DataFrame) -> bool:
