@@ -3,6 +3,12 @@
 Every stage works on all that the one before it kept; all but the last return the columns
 of ``documents``.  Each result is written to the shared folder and read again as the next
 stage's input.
+
+Defined cases: a null text is empty and fails the quality rules, as an empty one does; a null id
+loses to any id of an equal text and is never the near copy that goes; of rows with one id and
+text one stays; an empty table, or one of which nothing is left, packs to no rows; very long
+texts are read whole and cut into pieces by the last stage alone; other columns pass all
+filtering stages unchanged, whatever their names.
 """
 
 from __future__ import annotations
