@@ -419,7 +419,7 @@ class _Join:
         read = self.spark.read.schema(both.schema)
         texts, tokens = (read.parquet(f"{self.scratch.path}/profile/part={k}") if self.scratch.has(f"profile/part={k}") else self.spark.createDataFrame([], both.schema) for k in (0, 1))
         self.docs = texts.select("id", "hash", "n", "digest")
-        self.sketches = texts.where("digest IS NOT NULL").select("digest", "n", "sketch")
+        self.classes = self.scratch.write(texts.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
         frequent = tokens.groupBy("token").agg(F.sum("places").alias("n")).where(F.col("n") > MIN_FREQUENT)
         low = F.col("token").bitwiseAND((1 << FREQUENT_BITS) - 1)
         self.frequent = self.spark.sparkContext.broadcast(bitmap(frequent.select(low.alias("at")), "at", FREQUENT_BITS))
@@ -473,14 +473,8 @@ class _Join:
         bits.destroy()
         return out
 
-    def classes_of(self, ends: DataFrame) -> DataFrame:
-        """(digest, n, sketch) of the classes in ``ends``, one row each."""
-        return self.sketches.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-
     def pruned(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that the sketches let pass."""
-        pairs = self.scratch.write(pairs, f"met-{name}")
-        both = self.scratch.write(self.classes_of(_ends(pairs)), f"sketches-{name}")
         percent = self.percent
 
         @arrow_udf(BooleanType())
@@ -500,11 +494,8 @@ class _Join:
                 out[at] = may_link(*tables, *(s[at] for s in sizes), percent)[0]
             return pa.array(out)
 
-        left, right = (both.select(F.col("digest").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in "ab")
-        out = self.scratch.write(pairs.join(left, "a").join(right, "b").where(may("sa", "sb", "na", "nb")).select("a", "b"), f"pairs-{name}")
-        for table in ("met", "sketches"):
-            self.scratch.drop(f"{table}-{name}")
-        return out
+        left, right = (self.classes.select(F.col("digest").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in "ab")
+        return self.scratch.write(pairs.join(left, "a").join(right, "b").where(may("sa", "sb", "na", "nb")).select("a", "b"), f"pairs-{name}")
 
     def links(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
@@ -528,11 +519,9 @@ class _Join:
         named = self.scratch.write(named, "named")
         open_ = self.scratch.write(named.join(_mixed(named, "group"), "group").withColumn("mine", _block()), "open")
         self.scratch.drop("named")
-        known = self.scratch.write(self.classes_of(open_.select("digest").distinct()), "known")
-        rows = self.spread(open_, "group").join(known, "digest").select("group", "i", "j", "mine", "digest", "component", "n", "sketch", "guest", F.lit(None).cast("binary").alias("other"))
+        rows = self.spread(open_, "group").join(self.classes, "digest").select("group", "i", "j", "mine", "digest", "component", "n", "sketch", "guest", F.lit(None).cast("binary").alias("other"))
         out = self.scratch.write(self.meet(rows, "group", _meet(self.percent, 0)), "forest")
-        for table in ("open", "known"):
-            self.scratch.drop(table)
+        self.scratch.drop("open")
         return out
 
     def components(self) -> DataFrame:
@@ -638,10 +627,6 @@ def _rows(told: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*told, strict=True)], ["a", "b"])
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-
-
 def _apart(met: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) of different classes whose sizes allow a link, those of groups of two if they share enough signatures."""
     sized = met.where(f"digest <> p.digest AND 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
