@@ -16,7 +16,8 @@ signature was shared, has to share one:
 
 Prefixes are ``SHARED - 1`` tokens longer than that, so similar sets share ``SHARED`` signatures.
 Two sets that meet in groups of two alone are a candidate only if they share as many; most
-pairs that share a single token by chance end there, before anything is compared.
+pairs that share a single token by chance end there, before anything is compared.  The same
+holds where two of a larger group are the only ones of like size.
 
 Frequent are tokens that stand in more than ``MIN_FREQUENT`` prefixes by hash alone, counted
 over all documents.  They are known by a bitmap of their hashes, ``2**FREQUENT_BITS`` bits
@@ -435,15 +436,18 @@ class _Join:
         band = F.floor(F.log("n") / (math.log(100 / self.percent) * 1.001) if self.percent < 100 else F.col("n")).cast("int")
         met = met.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("guest").cast("int"))
         inside = Window.partitionBy("sig", "salt", "band")
-        alive = (F.col("salt") > 0) | ~F.col("two") & (F.count(F.lit(1)).over(inside) > 1) & ~F.min("guest").over(inside)
-        met = self.scratch.write(met.withColumn("alive", alive).where("alive OR NOT guest").drop("size"), "met")
+        met = met.withColumns({"k": F.count(F.lit(1)).over(inside), "guests": F.min("guest").over(inside), "q": F.min(F.struct("digest", "n", "shares")).over(inside)})
+        # of a band's members: alive, those that are to meet; pair, the one that tells of the only two
+        met = met.withColumn("alive", F.expr("salt > 0 OR NOT two AND k > 2 AND NOT guests")).withColumn("pair", F.expr("salt = 0 AND NOT two AND k = 2 AND NOT guests AND digest <> q.digest"))
+        met = self.scratch.write(met.where("NOT guest OR alive OR pair").select("sig", "salt", "digest", "n", "shares", "p", "two", "guest", "band", "alive", "pair", F.when(F.col("pair"), F.col("q")).alias("q")), "met")
         self.frequent.destroy()
         home = met.where("NOT guest")
         salted = home.where("salt > 0").select("sig", "p.digest", "p.n", "p.shares").distinct()
         across = salted.withColumn("p", F.min(F.struct("digest", "n", "shares")).over(Window.partitionBy("sig"))).withColumn("two", F.lit(False))
         columns = ["digest", "n", "shares", "p", "two"]
+        pairs = met.where("pair").select("digest", "n", "shares", F.col("q").alias("p"), F.lit(True).alias("two"))
         groups = met.where("alive").select(F.xxhash64("sig", "band").alias("group"), "digest", "guest")
-        return groups, _apart(home.select(*columns).unionByName(across.select(*columns)), self.percent)
+        return groups, _apart(home.select(*columns).unionByName(across.select(*columns)).unionByName(pairs), self.percent)
 
     def sets_of(self, ends: DataFrame) -> DataFrame:
         """(digest, n, tokens, fine sketch, cluster) of the classes ``ends(digest, cluster)``; a bitmap of bounded size spares most other texts."""
