@@ -1,27 +1,27 @@
 """Line dedup over content-defined chunks of lines, in DataFrame functions only.
 
-``passage_dedup`` finds every repeated passage:
-
-1. A passage starts and ends with a worded line and counts when it has ``MIN_LINES`` worded
-   lines and ``MIN_CHARS`` characters.  Each worded line starts one chunk and ends one: the
-   shortest passage forward from it, and backward.  A chunk depends on its own lines alone,
-   and a passage of any length is exactly the union of the chunks within it.
-2. Chunk hashes are counted over the whole table.  Only texts of chunks whose hash occurs
-   twice or more are moved (a bitmap of bounded size, then the exact join), and grouped by
-   their bytes: that is the byte comparison.  The occurrence with the smallest (id, row,
-   place) stays, and so does one in the same row that overlaps it; the lines of all others
-   go.  So the lines that go are those of the maximal repeated runs, and the first occurrence
-   of a line never goes.
-3. Documents that lose lines are put together again from their other lines; the rest stays
+``passage_dedup`` finds every repeated passage of ``MIN_LINES`` worded lines or more:
+
+1. A rolling hash runs over the hashes of a document's worded lines; its value at a line stands
+   for that line and the one before it.  It depends on these lines alone, wherever they stand.
+2. Rolling hashes are counted over the whole table.  Where one occurs twice or more, a chunk
+   begins or goes on, and it ends where the next one occurs once: so boundaries are set by the
+   content, and a chunk is a maximal run of repeated line pairs.  Texts of repeated pairs alone
+   are moved (a bitmap of bounded size, then the exact join) and grouped by their bytes: that is
+   the byte comparison.
+3. The occurrence of a pair with the smallest (id, row, place) stays, and so does one in the
+   same row that overlaps it; the lines of all others go.  So the first occurrence of a line
+   never goes, and of a repeated passage all lines go.
+4. Documents that lose lines are put together again from their other lines; the rest stays
    where it is read.
 
-``line_dedup`` does the same over chunks that do not overlap: a cyclic-polynomial rolling hash
-over ``WINDOW`` line hashes ends one where its remainder by ``DIVISOR`` is 0.  It moves less
-and leaves what does not fill a chunk.
+``line_dedup`` does the same over chunks that do not overlap: the rolling hash ends one where
+its remainder by ``DIVISOR`` is 0.  It moves less and leaves what does not fill a chunk.
 
 Defined cases: a null text is empty; rows are told apart by id and text, so repeated rows
 lose the same lines; of passages that repeat in one document the first stays; an empty
-table gives an empty result; a document all of whose lines are repeats becomes empty.
+table gives an empty result; a document all of whose lines are repeats becomes empty; very long
+texts are read whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ from .text import SPACE, let, pick
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
-MIN_CHARS = 40
 BITS = 24
 _SHIFT = 31
 
@@ -75,7 +74,7 @@ def chunk_lines(lines: Column, key: Column) -> Column:
 def _counts(lines: Column) -> Column:
     """Whether a chunk's lines make it worth removing."""
     worded = F.filter(lines, lambda x: x.rlike(f"[^{SPACE}]"))
-    return (F.size(worded) >= MIN_LINES) & (F.length(F.array_join(lines, "\n")) >= MIN_CHARS)
+    return F.size(worded) >= MIN_LINES
 
 
 def _place(value: Column) -> Column:
@@ -105,13 +104,22 @@ def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shared(scratch: Scratch, chunked: DataFrame) -> DataFrame:
-    """(id, row, key, text, hash) of the chunks in ``cs`` whose hash occurs twice or more; chunks without text do not count."""
-    every = chunked.select("id", "row", F.explode(F.filter("cs", lambda c: c["text"].isNotNull())).alias("c")).select("id", "row", "c.key", "c.text", F.xxhash64("c.text").alias("hash"))
+    """(id, row, key, text, hash) of the chunks in ``cs(key, text, hash)`` whose hash occurs twice or more; chunks without text do not count."""
+    every = chunked.select("id", "row", F.explode(F.filter("cs", lambda c: c["text"].isNotNull())).alias("c")).select("id", "row", "c.key", "c.text", "c.hash")
     repeated = scratch.write(every.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     maybe = _flagged(every, _bits(repeated, "hash"), "hash").where("_maybe").drop("_maybe")
     return scratch.write(maybe.join(repeated, "hash", "left_semi"), "shared")
 
 
+def _first(scratch: Scratch, shared: DataFrame, place: Column) -> DataFrame:
+    """(hash, text, first) of the texts that occur twice or more.
+
+    It is a table of its own, so that both sides of the join that follows come straight from
+    tables and the rows of a text with very many places can be split.
+    """
+    return scratch.write(shared.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "text", "first"), "first")
+
+
 def _without(scratch: Scratch, rows: DataFrame, gone: DataFrame, rest: Callable[[Column, Column], Column], id_col: str) -> DataFrame:
     """The rows without the chunks ``key`` of ``gone``; ``rest`` gives a row's other lines from its lines and those keys."""
     gone = scratch.write(gone.groupBy("row").agg(F.collect_set("key").alias("gone")), "gone")
@@ -127,9 +135,9 @@ def _without(scratch: Scratch, rows: DataFrame, gone: DataFrame, rest: Callable[
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
     """One row for each input row: id, cleaned ``text``, ``n_lines``, ``n_removed_lines``, ``n_removed_chars``."""
     scratch, rows = Scratch(df.sparkSession, "line-dedup"), _numbered(df, id_col, text_col)
-    chunked = rows.select("id", "row", let(F.split("text", "\n"), lambda ls: F.transform(chunk_keys(ls, window, divisor), lambda key: let(chunk_lines(ls, key), lambda c: F.struct(key.alias("key"), F.when(_counts(c), F.array_join(c, "\n")).alias("text"))))).alias("cs"))
+    chunked = rows.select("id", "row", let(F.split("text", "\n"), lambda ls: F.transform(chunk_keys(ls, window, divisor), lambda key: let(F.when(_counts(chunk_lines(ls, key)), F.array_join(chunk_lines(ls, key), "\n")), lambda t: F.struct(key.alias("key"), t.alias("text"), F.xxhash64(t).alias("hash"))))).alias("cs"))
     shared = _shared(scratch, chunked)
-    first = shared.groupBy("hash", "text").agg(F.min(F.struct("id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "text", "first")
+    first = _first(scratch, shared, F.struct("id", "key"))
     gone = shared.join(first, ["hash", "text"]).where(~F.struct("id", "key").eqNullSafe(F.col("first")))
     return _without(scratch, rows, gone, lambda ls, keys: let(F.array_except(chunk_keys(ls, window, divisor), keys), lambda ks: F.flatten(F.transform(ks, lambda k: chunk_lines(ls, k)))), id_col)
 
@@ -142,33 +150,26 @@ def _end(key: Column) -> Column:
     return (key - F.shiftright(key, _SHIFT) * (1 << _SHIFT)).cast("int")
 
 
-def passage_keys(lines: Column) -> Column:
-    """Shortest passages of a line array that start or end at each worded line, as start * 2**31 + end (line numbers, end excluded)."""
-    # this many worded lines have MIN_CHARS characters even if each has one
-    most = max(MIN_LINES, MIN_CHARS // 2 + 1)
-
-    def key(start: Column, end: Column) -> Column:
-        long_ = F.length(F.array_join(F.slice(lines, start + 1, end - start + 1), "\n")) >= MIN_CHARS
-        return F.when(long_, start.cast("long") * (1 << _SHIFT) + end + 1)
+def passages(lines: Column) -> Column:
+    """Pairs of neighbouring worded lines, with what stands between them: key (start * 2**31 + end, line numbers, end excluded), text, rolling hash."""
 
-    def nearest(at: Callable[[int | Column], Column]) -> Column:
-        wider = F.transform(F.sequence(F.lit(MIN_LINES), F.lit(most)), lambda k: at(k))
-        return F.coalesce(at(MIN_LINES - 1), F.get(F.filter(wider, lambda x: x.isNotNull()), F.lit(0)))
+    def pairs(ws: Column) -> Column:
+        def pair(hash_: Column, i: Column) -> Column:
+            start, end = F.get(ws, i - 1), F.get(ws, i) + 1
+            return F.struct((start.cast("long") * (1 << _SHIFT) + end).alias("key"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("text"), hash_.alias("hash"))
 
-    def both(ws: Column) -> Column:
-        forward = F.transform(ws, lambda w, i: nearest(lambda k: key(w, F.get(ws, i + k))))
-        backward = F.transform(ws, lambda w, i: nearest(lambda k: key(F.get(ws, i - k), w)))
-        return F.array_distinct(F.filter(F.concat(forward, backward), lambda x: x.isNotNull()))
+        rolled = let(F.transform(ws, lambda w: F.xxhash64(F.get(lines, w))), lambda h: rolling(h, MIN_LINES))
+        return F.filter(F.transform(rolled, lambda h, i: F.when(i > 0, pair(h, i))), lambda x: x.isNotNull())
 
-    return let(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"[^{SPACE}]"), i)), lambda i: i.isNotNull()), both)
+    return let(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"[^{SPACE}]"), i)), lambda i: i.isNotNull()), pairs)
 
 
 def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, cleaned ``text``, ``n_lines``, ``n_removed_lines``, ``n_removed_chars``."""
     scratch, rows = Scratch(df.sparkSession, "passage-dedup"), _numbered(df, id_col, text_col)
-    chunked = rows.select("id", "row", let(F.split("text", "\n"), lambda ls: F.transform(passage_keys(ls), lambda key: F.struct(key.alias("key"), F.array_join(chunk_lines(ls, key), "\n").alias("text")))).alias("cs"))
+    chunked = rows.select("id", "row", let(F.split("text", "\n"), passages).alias("cs"))
     shared = _shared(scratch, chunked)
-    first = shared.groupBy("hash", "text").agg(F.min(F.struct("id", "row", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "text", "first")
+    first = _first(scratch, shared, F.struct("id", "row", "key"))
     stays = F.struct("id", "row").eqNullSafe(F.struct("first.id", "first.row")) & (_start(F.col("key")) < _end(F.col("first.key")))
     gone = shared.join(first, ["hash", "text"]).where(~stays)
 

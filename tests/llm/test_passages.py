@@ -11,8 +11,7 @@ def passages(lines):
     for a, i in enumerate(worded):
         for j in worded[a + D.MIN_LINES - 1 :]:
             text = "\n".join(lines[i : j + 1])
-            if len(text) >= D.MIN_CHARS:
-                yield i, j + 1, text
+            yield i, j + 1, text
 
 
 def deduped(rows):
@@ -65,3 +64,10 @@ def test_passages_of_repeated_rows_and_ids(spark):
     got = D.passage_dedup(df).collect()
     assert sorted((x["doc_id"] or 0, x["text"]) for x in got) == [(0, f"x\n{block}"), (1, ""), (1, ""), (1, "y"), (2, "lonely line")]
     assert D.passage_dedup(df.limit(0)).count() == 0
+
+
+def test_very_long_text_and_clashing_names(spark):
+    own = [f"line {k} of a very long text" for k in range(60_000)]
+    rows = [(1, "\n".join(own), "q", 1), (2, "\n".join(["before", *own[30_000:30_100], "after"]), "q", 1)]
+    got = {x["doc_id"]: x for x in D.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string, hash string, n_lines int")).collect()}
+    assert got[1]["n_removed_lines"] == 0 and got[1]["text"] == rows[0][1] and got[2]["text"] == "before\nafter"
